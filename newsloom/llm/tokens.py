@@ -107,8 +107,12 @@ class Encoder:
         counted = scratch.keep(counts)
         self.n_words = counted.count()
         # the fold is CPU-bound on few bytes: spread the words over tasks by number, not by size
-        spread = max(1, min(2000, self.n_words // 8000 + 1), 0)
+        spread = min(2000, self.n_words // 8000 + 1)
+        conf, shown = texts.sparkSession.conf, "spark.sql.maxPlanStringLength"
+        before = conf.get(shown)
+        conf.set(shown, "4096")  # the literal rank table needn't be in plan descriptions
         self.words = scratch.keep(counted.repartition(spread).select("word", "n", encode_word(F.col("word"), vocabulary).alias("ids")))
+        conf.set(shown, before)
         self.rare = self.n_words > frequent
         self.kept = self.words.orderBy(F.desc("n"), "word").limit(frequent) if self.rare else self.words
 
