@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from newsloom.llm import group_queries, linkname_queries, packing_queries, plainform_queries, run_queries, setjoin_queries, token_queries
+from newsloom.llm import abuse_queries, group_queries, linkname_queries, packing_queries, plainform_queries, run_queries, setjoin_queries, token_queries
 
-MODULES = (plainform_queries, linkname_queries, setjoin_queries, run_queries, group_queries, token_queries, packing_queries)
+MODULES = (plainform_queries, linkname_queries, setjoin_queries, run_queries, group_queries, token_queries, packing_queries, abuse_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
