@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from newsloom.plans import catalog_queries, entity_queries, event_queries, orphan_queries, quality_queries, sequence_queries
+from newsloom.plans import catalog_queries, entity_queries, event_queries, linking_queries, misc_queries, orphan_queries, quality_queries, sequence_queries
 
-MODULES = (quality_queries, catalog_queries, entity_queries, event_queries, sequence_queries, orphan_queries)
+MODULES = (quality_queries, catalog_queries, entity_queries, event_queries, sequence_queries, linking_queries, misc_queries, orphan_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
