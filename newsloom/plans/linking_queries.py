@@ -208,17 +208,17 @@ cl as (select node, ancestor, min(depth) depth from clo group by 1, 2),
 ty as (select distinct qid, 'K' || (length(\"label\") % 7) class from kc where length(\"label\") % 11 <> 0),
 tf as (select kc.entity_group, canonical_entity_key, kc.qid, case when kc.entity_group not in ({_GROUPS}) then 'UNCHECKED' when ty.qid is null then 'UNKNOWN'
   when exists (select 1 from cl join (values {_ROOTS}) r(g, root) on r.root = cl.ancestor where cl.node = ty.class and r.g = kc.entity_group) then 'MATCH' else 'MISMATCH' end type_status from kc left join ty using (qid)),
-at as materialized (select article_id, {_CTX("lower(left(coalesce(title, '') || ' ' || coalesce(subtitle, '') || ' ' || coalesce(body, ''), 3000))")} tok from va),
+atk as materialized (select article_id, {_CTX("lower(left(coalesce(title, '') || ' ' || coalesce(subtitle, '') || ' ' || coalesce(body, ''), 3000))")} tok from va),
 kt as materialized (select *, {_CTX('"label"')} lt, {_CTX('lower(description)')} dt from kc),
 sc as materialized (select x.article_id, kt.canonical_entity_key, entity_group, qid, candidate_rank,
   round((1.0 * (canonical_entity = \"label\")::int + 0.5 * (\"label\" <> '' and \"label\" = canonical_entity)::int + 1.5 * {_INTER('lt', 'tok')} / greatest(len(lt), 1)
     + 1.0 * (0.7 * {_INTER('dt', 'tok')} / greatest(len(dt), 1) + 0.3 * least({_INTER('dt', 'tok')}, 5) / 5)) / 4.0, 9) context_score
-  from ts x join kt on kt.canonical_entity_key = x.entity join at on at.article_id = x.article_id),
-rk as (select *, row_number() over w place, lead(context_score) over w second, count(*) over (partition by article_id, canonical_entity_key) n,
+  from ts x join kt on kt.canonical_entity_key = x.entity join atk on atk.article_id = x.article_id),
+rk as (select *, row_number() over w place, lead(context_score) over w runner_up, count(*) over (partition by article_id, canonical_entity_key) n,
   max(context_score) over (partition by article_id, canonical_entity_key) best from sc window w as (partition by article_id, canonical_entity_key order by context_score desc, candidate_rank, qid)),
 ti as (select article_id, canonical_entity_key, count(*) filter (best - context_score <= 1e-12) ties from rk group by 1, 2),
-st as materialized (select rk.article_id, rk.canonical_entity_key, qid top_qid, round(context_score, 6) top_score, round(second, 6) second_score, round(context_score - coalesce(second, 0.0), 6) margin, n n_candidates, ties,
-  case when n = 1 then 'SINGLE' when context_score <= 1e-12 then 'ZERO' when ties > 1 then 'TIE' when context_score - coalesce(second, 0.0) >= 0.15 then 'UNIQUE_TOP' else 'WEAK_TOP' end status
+st as materialized (select rk.article_id, rk.canonical_entity_key, qid top_qid, round(context_score, 6) top_score, round(runner_up, 6) second_score, round(context_score - coalesce(runner_up, 0.0), 6) margin, n n_candidates, ties,
+  case when n = 1 then 'SINGLE' when context_score <= 1e-12 then 'ZERO' when ties > 1 then 'TIE' when context_score - coalesce(runner_up, 0.0) >= 0.15 then 'UNIQUE_TOP' else 'WEAK_TOP' end status
   from rk join ti using (article_id, canonical_entity_key) where place = 1),
 lk as materialized (select x.article_id, x.entity canonical_entity_key, coalesce(n, 0) candidate_count, case when s.top_qid is not null then 'LINKED' else 'UNLINKED' end decision, s.top_qid selected_qid, coalesce('WD::' || s.top_qid, x.entity) linked_entity_key
   from ts x left join (select canonical_entity_key, count(distinct qid) n from kc group by 1) k on k.canonical_entity_key = x.entity
@@ -227,9 +227,9 @@ lk as materialized (select x.article_id, x.entity canonical_entity_key, coalesce
 _SAMPLE = """select status, sample_rank, article_id, canonical_entity_key, top_qid, top_score from (
   select *, row_number() over (partition by status order by visit) sample_rank from (
     select *, row_number() over (partition by status, canonical_entity_key order by visit) e from (
-      select *, row_number() over (partition by status order by case when spread then 0 else 1 end, at) visit from (
-        select *, case when m >= n then true when m = 1 then at = n // 2 else round_even(at / ((n - 1) / (m - 1)), 0) < m and round_even(round_even(at / ((n - 1) / (m - 1)), 0) * ((n - 1) / (m - 1)), 0) = at end spread from (
-          select *, row_number() over (partition by status order by top_score desc, article_id, canonical_entity_key) - 1 at, count(*) over (partition by status) n, least(count(*) over (partition by status), 240) m from st)))) where e <= 2) where sample_rank <= 30"""
+      select *, row_number() over (partition by status order by case when spread then 0 else 1 end, place_at) visit from (
+        select *, case when m >= n then true when m = 1 then place_at = n // 2 else round_even(place_at / ((n - 1) / (m - 1)), 0) < m and round_even(round_even(place_at / ((n - 1) / (m - 1)), 0) * ((n - 1) / (m - 1)), 0) = place_at end spread from (
+          select *, row_number() over (partition by status order by top_score desc, article_id, canonical_entity_key) - 1 place_at, count(*) over (partition by status) n, least(count(*) over (partition by status), 240) m from st)))) where e <= 2) where sample_rank <= 30"""
 SQL = {
     "entity_universe": WITH + "select * from uni",
     "pending_entities": WITH + "select * from uni where entity_group in ('PER', 'ORG') and length(canonical_entity_key) % 3 = 2",
