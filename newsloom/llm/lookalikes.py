@@ -33,6 +33,9 @@ LOOKS_LIKE: dict[str, str] = {
     "ɵ": "ø", "Ɵ": "Ø", "ǀ": "l", "ꞵ": "ß", "ƽ": "s",
 }
 
+#: Lower-case letters above that resemble only the capital they come from.
+ONLY_LOWERED = frozenset("вкмнтгпьβγεζηκμστωχ")
+
 #: Spacing characters besides U+0020 that no category marks as such.
 OTHER_SPACES = "\t\n\v\f\r\x85  "
 #: Invisible characters that are not of category Cf.
@@ -185,8 +188,9 @@ def by_table(word: str) -> str:
     scripts = {script(x) for x in letters}
     if scripts == {"LATIN"} or len(scripts) < 2:
         return "".join(LOOKS_LIKE[x][0] if script(x) == "LATIN" and x in LOOKS_LIKE else x for x in clean)
-    foreign = [x for x in letters if script(x) != "LATIN" and x not in LOOKS_LIKE]
-    if not foreign:
+    foreign = [x for x in letters if script(x) != "LATIN" and (x not in LOOKS_LIKE or x in ONLY_LOWERED)]
+    latin = [x for x in letters if script(x) == "LATIN"]
+    if not foreign or 2 * len(latin) >= len(letters):
         return ud.normalize("NFC", "".join(LOOKS_LIKE[x][0] if x in LOOKS_LIKE else x for x in clean))
     own = max({script(x) for x in foreign}, key=[script(x) for x in foreign].count)
     back = {looks[0]: x for x, looks in reversed(LOOKS_LIKE.items()) if script(x) == own}
@@ -203,8 +207,12 @@ def in_case_of(word: str, token: str) -> str:
 
 def plain_text(text: str, canonical: dict[str, str | None]) -> str:
     """Plain form of a text; ``canonical`` has the spellings found for its odd words."""
-    tokens = [m for m in WORD.finditer(text)]
-    native = {script(x) for m in tokens for x in m.group() if x.isalpha() and script(x) != "LATIN" and x not in LOOKS_LIKE}
+    tokens = list(WORD.finditer(text))
+    native = set()  # scripts that the text is written in: a whole word of theirs that reads as no plain word
+    for m in tokens:
+        scripts = {script(x) for x in m.group() if x.isalpha()}
+        if len(scripts) == 1 and "LATIN" not in scripts and len(m.group()) > 2 and not canonical.get(m.group()):
+            native |= scripts
     out, at = [], 0
     for m in tokens:
         out.append(text[at : m.start()])
