@@ -22,8 +22,8 @@ import numpy as np
 
 from newsloom.llm.lookalikes import LOOKS_LIKE, ODD_TEXT, bare
 
-#: Bounds of the labelled sample that the model is fitted on: documents, and characters of one of them.
-SAMPLE_DOCS, SAMPLE_CHARS = 12_000, 20_000
+#: Bounds of the labelled sample that the model is fitted on: documents judged abusive, other documents, characters of one.
+SAMPLE_ABUSIVE, SAMPLE_OTHER, SAMPLE_CHARS = 4_000, 10_000, 20_000
 #: A feature needs this many documents of the sample.
 LEAST_DOCS = 3
 #: A word needs this many documents for a mistyped word to be read as it.
@@ -149,9 +149,10 @@ class Model:
 
     # ---- fitting
     @classmethod
-    def fit(cls, texts: list[str], labels: np.ndarray, epochs: int = 80, rate: float = 0.5, sparse: float = 0.7, seed: int = 1) -> Model:
+    def fit(cls, texts: list[str], labels: np.ndarray, weights: np.ndarray | None = None, epochs: int = 80, rate: float = 0.5, sparse: float = 0.7, seed: int = 1) -> Model:
         """Maximum likelihood of the document labels (0 to 1) under noisy-or, with an L1 penalty.
 
+        ``weights``: how many documents each one of the sample stands for, 1 by default.
         The penalty is in units of documents: a feature that mistaken labels alone
         support keeps weight 0.  The threshold is taken on held-out fifths.
         """
@@ -170,6 +171,7 @@ class Model:
         vocabulary, feature = np.unique(keys[kept], return_inverse=True)
         sentence = where[kept]
         y = np.clip(np.asarray(labels, float), 0.015, 0.97)  # raters err
+        share = np.ones(len(texts)) if weights is None else np.asarray(weights, float)
 
         def train(docs: np.ndarray, epochs: int) -> tuple[np.ndarray, float]:
             """Features are chosen under the penalty, then fitted again under a tenth of it."""
@@ -183,7 +185,7 @@ class Model:
             keep = use[sentence] & usable
             f, s = feature[keep], renumber[sentence[keep]]
             d = (np.cumsum(docs) - 1)[of_doc[use]]
-            t = y[docs]
+            t, stands = y[docs], share[docs]
             n_sentences, n_docs = int(use.sum()), int(docs.sum())
             w = w.copy()
             sw, sb = np.full(len(vocabulary), 1.0), 1.0
@@ -191,7 +193,7 @@ class Model:
                 p = 1 / (1 + np.exp(-np.clip(bias + np.bincount(s, w[f], minlength=n_sentences), -30, 30)))
                 none = np.exp(np.bincount(d, np.log1p(-np.minimum(p, 1 - 1e-9)), minlength=n_docs))
                 some = np.maximum(1 - none, 1e-9)
-                g = p * ((1 - t) - t * none / some)[d]
+                g = p * (stands * ((1 - t) - t * none / some))[d]
                 gw = np.bincount(f, g[s], minlength=len(w))
                 gb = g.sum()
                 sw += gw * gw
@@ -209,17 +211,17 @@ class Model:
             part = [t for t, x in zip(texts, fold == k, strict=True) if x]
             held[fold == k] = cls(words, vocabulary, w, b, 0.5).score(part)[0]
         seen = fold < 2
-        threshold = best_threshold(held[seen], np.asarray(labels)[seen] >= 0.5)
+        threshold = best_threshold(held[seen], np.asarray(labels)[seen] >= 0.5, share[seen])
         w, b = train(np.ones(len(texts), bool), epochs)
         used = np.abs(w) > 1e-4
         return cls(words, vocabulary[used], w[used].astype(np.float64), b, threshold)
 
 
-def best_threshold(scores: np.ndarray, truth: np.ndarray) -> float:
-    """Score from 0.2 to 0.8 with the best F1, nearest to 0.5 among equals."""
+def best_threshold(scores: np.ndarray, truth: np.ndarray, share: np.ndarray) -> float:
+    """Score from 0.2 to 0.8 with the best weighted F1, nearest to 0.5 among equals."""
     best = (-1.0, 0.0, 0.5)
     for t in np.arange(0.2, 0.81, 0.05):
         hit = scores >= t
-        f1 = 2 * (hit & truth).sum() / max(1, hit.sum() + truth.sum())
+        f1 = 2 * share[hit & truth].sum() / max(1.0, share[hit].sum() + share[truth].sum())
         best = max(best, (round(float(f1), 4), -abs(float(t) - 0.5), float(t)))
     return best[2]

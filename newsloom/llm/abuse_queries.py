@@ -9,16 +9,18 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.llm.abuse import SAMPLE_CHARS, SAMPLE_DOCS, Model, sentences
+from newsloom.llm.abuse import SAMPLE_ABUSIVE, SAMPLE_CHARS, SAMPLE_OTHER, Model, sentences
 from newsloom.sources import load
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, abusive: int = SAMPLE_ABUSIVE, other: int = SAMPLE_OTHER, chars: int = SAMPLE_CHARS) -> Model:
     """Model fitted on a bounded sample of the labelled documents.
 
-    A document's label is the mean of its distinct judgements.  The sample is
-    ``sample_docs`` documents in the order of a hash of their id, without those
-    of more than ``sample_chars`` characters; nothing else is collected.
+    A document's label is the mean of its distinct judgements.  The sample is at
+    most ``abusive`` documents of label 0.5 or more and ``other`` ones, in the
+    order of a hash of their id, without those of more than ``chars`` characters.
+    Each stands for its class's share of all labelled documents; nothing else is
+    collected.
     """
     judged = (
         labels.where("doc_id is not null and abusive is not null")
@@ -26,9 +28,15 @@ def fit(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS, samp
         .groupBy("doc_id")
         .agg(F.avg("abusive").alias("label"))
     )
-    known = docs.where(F.length("text") <= sample_chars).select("doc_id", "text").join(judged, "doc_id")
-    rows = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs).toPandas()
-    return Model.fit(rows["text"].tolist(), rows["label"].to_numpy(dtype=float))
+    known = docs.where(F.length("text") <= chars).select("doc_id", "text").join(judged, "doc_id")
+    is_bad = F.col("label") >= 0.5
+    sizes = known.select(is_bad.alias("bad")).groupBy("bad").agg(F.count("*").alias("n"))
+    there = {r["bad"]: r["n"] for r in sizes.collect()}
+    parts = [known.where(is_bad if bad else ~is_bad).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).toPandas() for bad, most in ((True, abusive), (False, other))]
+    scale = [there.get(bad, 0) / max(1, len(p)) for bad, p in zip((True, False), parts, strict=True)]
+    rows = pd.concat(parts, ignore_index=True)
+    weights = np.concatenate([np.full(len(p), s / max(scale[0], 1e-9)) for s, p in zip(scale, parts, strict=True)])
+    return Model.fit(rows["text"].tolist(), rows["label"].to_numpy(dtype=float), weights)
 
 
 def scored(docs: DataFrame, model: Model, locate: bool = True) -> DataFrame:
