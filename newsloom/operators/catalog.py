@@ -21,7 +21,7 @@ def article_flags(a: DataFrame) -> DataFrame:
     return a.withColumns(
         {
             "no_id": F.col("article_id").isNull(),
-            "repeated_id": F.col("article_id").isNotNull() & duplicated(["article_id"]),
+            "repeated_id": duplicated("article_id", ["title", "published_time"]),
             "no_text": (title == "") & (sub == ""),
             "no_time": F.col("published_time").isNull(),
             "list_mismatch": lists.length("ner_clusters") != lists.length("entity_groups"),
@@ -44,7 +44,7 @@ def valid_articles(a: DataFrame) -> DataFrame:
 
 def used_ids(b: DataFrame, h: DataFrame, inview: bool) -> DataFrame:
     """Ids a split refers to: history pairs, current and clicked articles of usable impressions, and candidates if ``inview``."""
-    users = h.where("user_id is not null").withColumn("dup", duplicated(["user_id"])).where("not dup and size(article_id_fixed) = size(impression_time_fixed)")
+    users = h.where("user_id is not null").withColumn("dup", duplicated("user_id", ["article_id_fixed"])).where("not dup and size(article_id_fixed) = size(impression_time_fixed)")
     pairs = users.select(F.inline(F.arrays_zip(F.col("article_id_fixed").alias("a"), F.col("impression_time_fixed").alias("t")))).where("a is not null and t is not null")
     rows = usable_flags(b, False).where("usable")
     clicks = rows.select(F.explode("article_ids_clicked").alias("a"))

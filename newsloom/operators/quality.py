@@ -47,9 +47,13 @@ def numeric_summary(c: Column) -> list[Column]:
     ]
 
 
-def duplicated(keys: list[str]) -> Column:
-    """Whether a row's key stands in several rows; all copies count."""
-    return F.count("*").over(Window.partitionBy(*keys)) > 1
+def duplicated(key: str, spread: list[str]) -> Column:
+    """Whether a row's key stands in several rows; all copies count, a null key never does.
+
+    Rows without a key may be many: they are spread over tasks by a hash of the columns ``spread``.
+    """
+    salt = F.when(F.col(key).isNull(), F.xxhash64(*spread))
+    return F.col(key).isNotNull() & (F.count("*").over(Window.partitionBy(key, salt)) > 1)
 
 
 def status(fail: Column, warn: Column) -> Column:
@@ -95,7 +99,7 @@ def history_validation(h: DataFrame) -> DataFrame:
     n = F.size("article_id_fixed")
     flags = h.select(
         F.col("user_id").isNull().alias("null_user"),
-        (F.col("user_id").isNotNull() & duplicated(["user_id"])).alias("dup_user"),
+        duplicated("user_id", ["article_id_fixed"]).alias("dup_user"),
         (F.col("article_id_fixed").isNull() | F.col("impression_time_fixed").isNull()).alias("null_list"),
         F.coalesce(F.size("article_id_fixed") != F.size("impression_time_fixed"), F.lit(False)).alias("mismatch"),
         F.coalesce(F.exists("article_id_fixed", lambda x: x.isNull()), F.lit(False)).alias("null_element"),
@@ -171,7 +175,7 @@ def usable_flags(b: DataFrame, need_inview: bool) -> DataFrame:
     no_view = F.size(seen) == 0
     out = b.withColumns(
         {
-            "bad_impression": F.col("impression_id").isNull() | duplicated(["impression_id"]),
+            "bad_impression": F.col("impression_id").isNull() | duplicated("impression_id", ["user_id", "impression_time"]),
             "bad_user": F.col("user_id").isNull(),
             "bad_time": F.col("impression_time").isNull(),
             "bad_click": no_click,
@@ -221,11 +225,10 @@ def missing_references(refs: DataFrame, articles: DataFrame, examples: int = 10)
     known = articles.where("article_id is not null").select(F.col("article_id").cast("bigint")).distinct()
     lost = refs.join(known, "article_id", "left_anti")
     per_id = lost.groupBy("kind", "article_id").agg(F.count("*").alias("n"))
-    ids = (
-        per_id.withColumn("rank", F.row_number().over(Window.partitionBy("kind").orderBy("article_id")))
-        .groupBy("kind")
-        .agg(F.sum("n").alias("n_references"), F.count("*").alias("n_ids"), lists.text_of(F.sort_array(F.collect_list(F.when(F.col("rank") <= examples, F.col("article_id"))))).alias("examples"))
-    )
+    ids = per_id.groupBy("kind").agg(F.sum("n").alias("n_references"), F.count("*").alias("n_ids"))
+    # the filter on the rank lets each task keep its smallest ids only, before anything is shuffled
+    few = per_id.withColumn("rank", F.row_number().over(Window.partitionBy("kind").orderBy("article_id"))).where(F.col("rank") <= examples)
+    ids = ids.join(few.groupBy("kind").agg(lists.text_of(F.sort_array(F.collect_list("article_id"))).alias("examples")), "kind")
     rows = lost.groupBy("kind").agg(F.count_distinct("row_key").alias("n_rows"))
     return ids.join(rows, "kind")
 

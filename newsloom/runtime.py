@@ -98,8 +98,9 @@ class Scratch:
         try:
             self._delete(self.root)
         except Exception:  # noqa: BLE001 - the session may already be gone
-            if self.root.startswith("file://"):
-                shutil.rmtree(self.root.removeprefix("file://"), ignore_errors=True)
+            path = self.root.removeprefix("file://").removeprefix("file:")
+            if path.startswith("/"):
+                shutil.rmtree(path, ignore_errors=True)
 
 
 def maybe_broadcast(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
