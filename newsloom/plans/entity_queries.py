@@ -12,10 +12,12 @@ from newsloom.operators.quality import unpivot
 from newsloom.plans.base import articles, entity_group_sql, entity_text_sql
 from newsloom.plans.catalog_queries import WITH as CATALOG
 from newsloom.plans.catalog_queries import train_ids, valid
+from newsloom.runtime import Scratch
 
 
 def _mentions(spark: SparkSession, d: str) -> DataFrame:
-    return E.mentions(valid(spark, d), train_ids(spark, d))
+    """The mention table, written once: every map and statistic reads it again."""
+    return Scratch(spark, "mentions").keep(E.mentions(valid(spark, d), train_ids(spark, d)))
 
 
 def _entities(spark: SparkSession, d: str) -> DataFrame:
