@@ -1,12 +1,14 @@
 """Plain forms, name variants and the abuse model."""
 
+import random
+
 import numpy as np
 import pytest
 
 from newsloom.llm.abuse import Model, clean, sentences
 from newsloom.llm.abuse_queries import fit, scored
 from newsloom.llm.entitynames import Similarity, edits, parse
-from newsloom.llm.linknames import bands_for, link_names, star_clusters
+from newsloom.llm.linknames import bands_for, candidates, link_names, q_grams, star_clusters
 from newsloom.llm.lookalikes import LOOKS_LIKE, Trie, by_table, is_odd, plain_text, skeleton
 from newsloom.llm.plainform import plain_forms
 from newsloom.runtime import Scratch
@@ -73,6 +75,23 @@ def test_collision_curve():
     assert 1 - (1 - 0.35**3) ** b >= 0.95 > 1 - (1 - 0.35**3) ** (b - 1)
 
 
+@pytest.mark.parametrize("n", [1500, 8000])
+def test_band_recall_of_typing_errors_holds_as_names_grow(spark, n):
+    rng = random.Random(5)
+
+    def swapped(x):
+        i = rng.randrange(1, len(x) - 2)
+        return x[:i] + x[i + 1] + x[i] + x[i + 2 :]
+
+    surnames = {"".join(rng.choice("bdfgklmnrstv") + rng.choice("aeiouy") for _ in range(5)) for _ in range(n)}
+    pairs = {(s, swapped(s)) for s in sorted(surnames)[::5]}
+    names = sorted(surnames | {b for _, b in pairs})
+    df = spark.createDataFrame([("PER", x, q_grams((x,))) for x in names], "grp string, name string, grams array<string>")
+    got = {(r["a"], r["b"]) for r in candidates(df, {"PER": len(names)}, 3, bands_for(0.35, 0.95, 3), Scratch(spark, "t")).collect()}
+    pairs = {(min(p), max(p)) for p in pairs if p[0] != p[1]}
+    assert len(pairs & got) / len(pairs) > 0.96
+
+
 def test_stars_equal_the_greedy_order(spark):
     edges = {(0, 1), (1, 2), (2, 3), (3, 4), (4, 5), (0, 5), (6, 7)}
     rank = {0: 1, 1: 5, 2: 4, 3: 3, 4: 6, 5: 2, 6: 9, 7: 8, 8: 0}
