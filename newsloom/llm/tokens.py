@@ -17,7 +17,8 @@ the distinct words, with the rank table as a literal map in the plan.
   way: those words are joined with their encodings by shuffle and filled in.
 
 Defined results: null and empty texts give an empty list; text that looks like
-a special token is ordinary text; texts of any length are encoded whole.
+a special token is ordinary text; texts of any length are encoded whole; rows
+with a null or a repeated key are encoded each by itself.
 """
 
 from __future__ import annotations
@@ -32,6 +33,8 @@ from pyspark.sql import functions as F
 
 from newsloom.runtime import Scratch
 
+#: Column that numbers the rows whose gaps are filled.
+ROW = "__row_of_gaps"
 #: Where the public vocabulary lies; a parameter of every operator here.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The pattern that this vocabulary's texts are cut by; (?U) gives \s its Unicode meaning.
@@ -103,6 +106,7 @@ class Encoder:
     """Distinct words of a corpus with their encodings, and the two ways back to the texts."""
 
     def __init__(self, texts: DataFrame, text: str, scratch: Scratch, vocabulary: str = VOCABULARY, frequent: int = FREQUENT):
+        self.scratch = scratch
         counts = texts.select(F.explode(cut(F.col(text))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
         counted = scratch.keep(counts)
         self.n_words = counted.count()
@@ -137,16 +141,17 @@ class Encoder:
         if not self.rare:
             return looked
         missing = F.exists("parts", lambda p: p.isNull())
+        # keys may be null or repeat: each row has a number of its own, written once
+        open_ = self.scratch.keep(looked.where(missing).withColumn(ROW, F.monotonically_increasing_id()))
         gaps = (
-            looked.where(missing)
-            .select(key, F.posexplode(F.arrays_zip("parts", cut(F.col(text)).alias("words"))).alias("pos", "e"))
+            open_.select(ROW, F.posexplode(F.arrays_zip("parts", cut(F.col(text)).alias("words"))).alias("pos", "e"))
             .where("e.parts is null")
-            .select(key, "pos", F.col("e.words").alias("word"))
+            .select(ROW, "pos", F.col("e.words").alias("word"))
             .join(self.words.select("word", value.alias("v")), "word")
-            .groupBy(key)
+            .groupBy(ROW)
             .agg(F.map_from_entries(F.collect_list(F.struct("pos", "v"))).alias("fill"))
         )
-        patched = looked.where(missing).join(gaps, key).withColumn("parts", F.transform("parts", lambda p, i: F.coalesce(p, F.try_element_at("fill", i)))).drop("fill")
+        patched = open_.join(gaps, ROW).withColumn("parts", F.transform("parts", lambda p, i: F.coalesce(p, F.try_element_at("fill", i)))).drop("fill", ROW)
         return looked.where(~missing).unionByName(patched)
 
     def ids(self, docs: DataFrame, key: str, text: str) -> DataFrame:

@@ -37,6 +37,16 @@ def test_ids_equal_the_public_tokenizer(spark, frequent):
     assert sizes == {i: len(x) for i, x in got.items()}
 
 
+@pytest.mark.parametrize("frequent", [200_000, 15])
+def test_null_and_repeated_keys_are_encoded_each(spark, frequent):
+    enc, rows = reference(), [(None if i % 3 == 0 else i // 4, t, i) for i, t in enumerate(texts())]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, i int")
+    ids = Encoder(docs, "text", Scratch(spark, "t"), frequent=frequent)
+    got = sorted((r["i"], r["doc_id"], r["ids"]) for r in ids.ids(docs, "doc_id", "text").collect())
+    assert got == [(i, k, enc.encode_ordinary(t or "")) for k, t, i in rows]
+    assert sorted((r["i"], r["n_tokens"]) for r in ids.sizes(docs, "doc_id", "text").collect()) == [(i, len(x)) for i, _, x in got]
+
+
 def test_decoding_gives_the_text_back(spark):
     rows = [(i, t) for i, t in enumerate(texts())]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
