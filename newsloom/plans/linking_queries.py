@@ -108,10 +108,16 @@ def type_filter_status(spark: SparkSession, d: str) -> DataFrame:
     return L.filter_summary(L.class_filter(c.select("entity_group", "canonical_entity_key", "qid"), classes, _subclass(spark), scratch))
 
 
+def _article_tokens(articles: DataFrame) -> DataFrame:
+    """Words of title, subtitle and body, whole.  The SQL twin reads the first 3 000 characters only, so the two differ on longer texts."""
+    text = F.concat_ws(" ", *[F.coalesce(c, F.lit("")) for c in ("title", "subtitle", "body")])
+    return articles.select("article_id", L.context_tokens(F.lower(text)).alias("article_tokens"))
+
+
 def _scores(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     scratch = Scratch(spark, "links")
     t, c = _candidates(spark, d, scratch)
-    texts = valid(spark, d).select("article_id", L.context_tokens(F.lower(F.left(F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("subtitle", F.lit("")), F.coalesce("body", F.lit(""))), F.lit(3000)))).alias("article_tokens"))
+    texts = _article_tokens(valid(spark, d))
     cases = t.select("article_id", "canonical_entity_key").distinct().join(c, "canonical_entity_key").join(texts, "article_id")
     cases = cases.withColumns({"surface": F.col("canonical_entity"), "match_text": F.col("label"), "label_tokens": L.context_tokens(F.col("label")), "description_tokens": L.context_tokens(F.lower("description"))})
     return scratch.keep(L.context_scores(cases).select("article_id", "canonical_entity_key", "entity_group", "qid", "candidate_rank", "context_score")), t, c

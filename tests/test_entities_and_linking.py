@@ -10,6 +10,7 @@ from newsloom.operators import catalog as C
 from newsloom.operators import entities as E
 from newsloom.operators import export, linking, vectors
 from newsloom.operators.sampling import diverse_sample
+from newsloom.plans import linking_queries
 from newsloom.sources import records
 from newsloom.streaming.twins import session_counts
 
@@ -122,6 +123,11 @@ def test_claims(spark):
     assert [r[0] for r in df.select(records.claim_ids(F.col("p"), "P31")).collect()] == [["Q5"], [], []]
 
 
+def test_article_words_after_3000_characters_count(spark):
+    df = spark.createDataFrame([(1, "Nyt", None, "fyld " * 900 + "Skagen")], "article_id int, title string, subtitle string, body string")
+    assert set(linking_queries._article_tokens(df).first()["article_tokens"]) == {"nyt", "fyld", "skagen"}
+
+
 def test_vectors(spark):
     df = spark.createDataFrame([([3.0, 4.0], [[1.0, 2.0], [3.0, 4.0], [9.0, 9.0]], [1, 1, 0])], "v array<float>, t array<array<float>>, m array<int>")
     r = df.select(vectors.norm(F.col("v")).alias("n"), vectors.normalised(F.col("v")).alias("u"), vectors.mean_pool(F.col("t"), F.col("m")).alias("p")).first()
