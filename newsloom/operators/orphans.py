@@ -107,7 +107,7 @@ def cascade(
     """Orphans of a whole foreign-key graph.
 
     ``parents[t]`` has ``parent_key, born`` for each table that edges refer to.
-    The fixpoint runs only when ``inherited`` is called.  A record is tainted
+    The fixpoint runs only when ``inherited`` is called; it fails if ``max_rounds`` don't reach it.  A record is tainted
     if one of its references is ``absent``; its children are inherited orphans
     of depth 1, theirs of depth 2, and so on.  A record reached along several
     paths is reported once per field, at its smallest depth.
@@ -153,6 +153,8 @@ def cascade(
                 break
             seen = seen.unionByName(fresh)
             tainted = fresh
+        else:
+            raise RuntimeError(f"no fixpoint after {max_rounds} rounds")
         return found.groupBy("child", "ref_field", "ref_key", "ref_day").agg(F.min("depth").alias("depth"))
 
     return Cascade(direct, inherited)

@@ -59,6 +59,7 @@ def _graph(spark: SparkSession, d: str) -> tuple[list[Reference], dict[str, Data
     def keys(table: str, key: str) -> DataFrame:
         return load(spark, d, table).where(F.col(key).isNotNull()).select(F.col(key).cast("bigint").alias("parent_key")).distinct().withColumn("born", F.lit(None).cast("timestamp_ntz"))
 
+    matched = load(spark, d, "article_events").where("article_id is not null")
     edges = [
         *_article_edges(spark, d),
         edge("behaviors", "impression_id", "article_id", "articles", "impression_time"),
@@ -66,6 +67,12 @@ def _graph(spark: SparkSession, d: str) -> tuple[list[Reference], dict[str, Data
         edge("documents", "doc_id", "article_id", "articles", "created_time"),
         edge("doc_labels", "doc_id", "doc_id", "documents"),
         edge("article_semantic_ids", "article_id", "article_id", "articles"),
+        Reference(  # no key of its own: a record is the match of an article and an event
+            "article_events.article_id",
+            "article_events",
+            "articles",
+            matched.select(F.xxhash64("article_id", "event_id").alias("ref_key"), F.col("article_id").cast("bigint").alias("parent_key"), F.col("published_time").alias("ref_time")),
+        ),
     ]
     return edges, {"articles": _articles(spark, d), "history": keys("history", "user_id"), "documents": keys("documents", "doc_id")}
 

@@ -1,11 +1,14 @@
 """The orphan cascade against hand-made cases."""
 
 import datetime as dt
+from pathlib import Path
 
 import pytest
 
 from newsloom.operators.orphans import Reference, cascade
+from newsloom.plans.orphan_queries import p6_report
 from newsloom.runtime import Scratch
+from newsloom.sources import load
 
 T0 = dt.datetime(2016, 1, 20)
 REF = "ref_key bigint, parent_key bigint, ref_time timestamp_ntz, article_id int"  # one column more than is read
@@ -49,3 +52,23 @@ def test_inherited_orphans_end_in_a_cycle(spark):
 def test_one_hot_parent(spark):
     refs = [(i, 5, T0, 0) for i in range(3000)]
     assert run(spark, refs, [(6, T0)]).direct.count() == 3000
+
+
+def test_an_unreached_fixpoint_is_an_error(spark):
+    ref = lambda rows: spark.createDataFrame([(*r, T0, 0) for r in rows], REF)
+    edges = [Reference("doc.article", "doc", "art", ref([(1, 9)])), Reference("doc.doc", "doc", "doc", ref([(i + 1, i) for i in range(1, 6)]))]
+    keys = lambda ks: spark.createDataFrame([(k, None) for k in ks], PARENT)
+    out = cascade(edges, {"art": keys([]), "doc": keys(range(1, 7))}, Scratch(spark, "t"), max_rounds=2)
+    with pytest.raises(RuntimeError):
+        out.inherited()
+
+
+def test_report_holds_the_orphans_of_article_events(spark, tmp_path):
+    for p in Path("/root/testdata/sf0.001").glob("*.parquet"):
+        if p.stem != "article_events":
+            (tmp_path / p.name).symlink_to(p)
+    late, known = T0 - dt.timedelta(days=9999), load(spark, str(tmp_path), "articles").where("published_time is not null and article_id > 0").first()["article_id"]
+    rows = [(-77, 1, T0), (-77, 1, T0), (-77, 2, T0), (-78, None, None), (None, 3, T0), (known, 4, late), (known, 4, dt.datetime(2099, 1, 1))]
+    spark.createDataFrame(rows, "article_id bigint, event_id bigint, published_time timestamp_ntz").write.parquet(f"{tmp_path}/article_events.parquet")
+    got = {(r["orphan_kind"], r["ref_day"]): (r["n_refs"], r["n_records"]) for r in p6_report(spark, str(tmp_path)).where("ref_field = 'article_events.article_id'").collect()}
+    assert got == {("absent", "2016-01-20"): (2, 2), ("absent", "unknown"): (1, 1), ("later", f"{late:%Y-%m-%d}"): (1, 1)}
