@@ -106,6 +106,18 @@ def test_stars_equal_the_greedy_order(spark):
     assert {r["v"]: r["centre"] for r in got.collect()} == want
 
 
+def test_nothing_is_left_undecided_in_silence(spark):
+    chain = spark.createDataFrame([(i, -i) for i in range(12)], "v int, rank int")
+    both = spark.createDataFrame([(a, b, 0.9) for i in range(11) for a, b in ((i, i + 1), (i + 1, i))], "x int, y int, sim double")
+    with pytest.raises(RuntimeError):
+        star_clusters(chain, both, Scratch(spark, "t"), max_rounds=3)
+    assert star_clusters(chain, both, Scratch(spark, "t")).count() == 12
+    names = spark.createDataFrame([("PER", "wanda fælerrudø")], "grp string, name string")
+    many = spark.range(100_001).selectExpr("cast(id as string) given_name", "'x' nickname")
+    with pytest.raises(ValueError):
+        link_names(names, many, Scratch(spark, "t"))
+
+
 def test_linking(spark):
     names = {"PER": ["wanda fælerrudø", "fælerrudø, wanda", "w. fælerrudø", "wanda fælerudø", "wanda faelerrudoe", "jens fælerrudø", "tove pemilbøjø", "", None], "ORG": ["gæsybo energi", "energi, gæsybo ab", "gæsybo en.", "gæsybo foods"]}
     df = spark.createDataFrame([(g, n, 0) for g, ns in names.items() for n in ns], "grp string, name string, entity int")
