@@ -43,8 +43,9 @@ OTHER_INVISIBLE = "͏ᅟᅠ឴឵ㅤﾠ"
 
 EMOJI = regex.compile(r"[\p{Extended_Pictographic}\p{Emoji_Modifier}\p{Regional_Indicator}]")
 WORD = regex.compile(r"[\p{L}\p{M}\p{Cf}͏]*\p{L}[\p{L}\p{M}\p{Cf}͏]*")
-#: JVM pattern: a text without such a character is plain as it is.
+#: JVM pattern: a text without such a character is plain as it is.  A look-alike is odd wherever it stands.
 ODD_TEXT = r"[^\x20-\x7e¡-¬®-ıĴ-ňŊ-žƀ-ǃǍ-ǰǴ-ɏḀ-ỿ‐-‧‰-⁞€]"
+ODD_TEXT += "|[" + "".join(x for x in LOOKS_LIKE if not regex.match(ODD_TEXT, x)) + "]"  # those within the ranges above; a longer list costs time
 
 #: Costs of the automaton.
 FREE, OTHER_LETTER = 0.0, 1.0

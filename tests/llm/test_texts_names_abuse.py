@@ -1,6 +1,7 @@
 """Plain forms, name variants and the abuse model."""
 
 import random
+import re
 
 import numpy as np
 import pytest
@@ -9,7 +10,7 @@ from newsloom.llm.abuse import Model, clean, sentences
 from newsloom.llm.abuse_queries import fit, scored
 from newsloom.llm.entitynames import Similarity, edits, parse
 from newsloom.llm.linknames import bands_for, candidates, link_names, q_grams, star_clusters
-from newsloom.llm.lookalikes import LOOKS_LIKE, Trie, by_table, is_odd, plain_text, skeleton
+from newsloom.llm.lookalikes import LOOKS_LIKE, ODD_TEXT, Trie, by_table, is_odd, plain_text, skeleton
 from newsloom.llm.plainform import plain_forms
 from newsloom.runtime import Scratch
 
@@ -75,6 +76,14 @@ def test_collision_curve():
     assert 1 - (1 - 0.35**3) ** b >= 0.95 > 1 - (1 - 0.35**3) ** (b - 1)
 
 
+def test_every_look_alike_passes_the_prefilter(spark):
+    assert all(re.search(ODD_TEXT, "ab" + x) for x in LOOKS_LIKE) and not re.search(ODD_TEXT, "Łódź Ærø Ögård né – “x”")
+    df = spark.createDataFrame([("Nordby Holding",), ("Nordby Holdıng",), ("Kƽ",), ("Næstved",)], "text string")
+    got = {r["text"]: r["plain"] for r in plain_forms(df, Scratch(spark, "t")).collect()}
+    assert got == {"Nordby Holdıng": "Nordby Holding", "Kƽ": "Ks"}
+    assert clean("du er en ıdiot") == "du er en idiot"
+
+
 @pytest.mark.parametrize("n", [1500, 8000])
 def test_band_recall_of_typing_errors_holds_as_names_grow(spark, n):
     rng = random.Random(5)
