@@ -47,8 +47,8 @@ WORD = regex.compile(r"[\p{L}\p{M}\p{Cf}͏]*\p{L}[\p{L}\p{M}\p{Cf}͏]*")
 ODD_TEXT = r"[^\x20-\x7e¡-¬®-ıĴ-ňŊ-žƀ-ǃǍ-ǰǴ-ɏḀ-ỿ‐-‧‰-⁞€]"
 ODD_TEXT += "|[" + "".join(x for x in LOOKS_LIKE if not regex.match(ODD_TEXT, x)) + "]"  # those within the ranges above; a longer list costs time
 
-#: Costs of the automaton.
-FREE, OTHER_LETTER = 0.0, 1.0
+#: Costs of the automaton: a look-alike or ignorable character; another letter, a letter of the word that the token lacks, a letter of the token that the word lacks.
+FREE, OTHER_LETTER, MISSING_LETTER, EXTRA_LETTER = 0.0, 1.0, 1.0, 1.0
 
 
 @lru_cache(maxsize=100_000)
@@ -154,32 +154,59 @@ class Trie:
             node = node.setdefault(ch, {})
         node[""] = max(node.get("", 0), count)
 
-    def read(self, token: str, budget: float = FREE) -> str | None:
-        """The canonical spelling of a token: the word of least cost, then the most frequent.
+    def best(self, token: str, budget: float = FREE) -> tuple[float, int, str] | None:
+        """The word of least cost, then the most frequent, then the first: (cost, -count, word); None if all cost more than ``budget``.
 
-        States are (node, spelling, cost).  Ignorable characters leave a state as
-        it is, look-alikes follow an edge free of cost, any other letter costs
-        ``OTHER_LETTER``; states above ``budget`` die.
+        A state is a place in the trie, which its spelling names, with the least
+        cost it was reached at.  Ignorable characters leave states as they are,
+        look-alikes follow an edge free of cost; another letter, a missing and an
+        extra one have their price.
         """
-        states = [(self.root, "", FREE)]
+        states = self._with_missing({"": (FREE, self.root)}, budget)
         for raw in ud.normalize("NFC", token):
             if is_invisible(raw):
                 continue
             for ch in expanded(raw).lower():
-                follow = []
+                follow: dict[str, tuple[float, dict]] = {}
                 free = options(ch)
-                for node, spelt, cost in states:
-                    for nxt, child in node.items():
-                        if nxt == "":
-                            continue
-                        price = cost + (FREE if nxt in free else OTHER_LETTER)
-                        if price <= budget:
-                            follow.append((child, spelt + nxt, price))
-                states = follow
+                for spelt, (cost, node) in states.items():
+                    for nxt in free:
+                        if nxt in node:
+                            self._reach(follow, spelt + nxt, cost + FREE, node[nxt])
+                    if cost + OTHER_LETTER <= budget:
+                        for nxt, child in node.items():
+                            if nxt and nxt not in free:
+                                self._reach(follow, spelt + nxt, cost + OTHER_LETTER, child)
+                    if cost + EXTRA_LETTER <= budget:
+                        self._reach(follow, spelt, cost + EXTRA_LETTER, node)
+                states = self._with_missing(follow, budget)
                 if not states:
                     return None
-        ends = [(cost, -node[""], spelt) for node, spelt, cost in states if "" in node]
-        return min(ends)[2] if ends else None
+        return min(((cost, -node[""], spelt) for spelt, (cost, node) in states.items() if "" in node), default=None)
+
+    @staticmethod
+    def _reach(states: dict[str, tuple[float, dict]], spelt: str, cost: float, node: dict) -> None:
+        if spelt not in states or cost < states[spelt][0]:
+            states[spelt] = (cost, node)
+
+    @staticmethod
+    def _with_missing(states: dict[str, tuple[float, dict]], budget: float) -> dict[str, tuple[float, dict]]:
+        """States, and those that follow where the token lacks letters of the word."""
+        open_ = [(cost, spelt, node) for spelt, (cost, node) in states.items() if cost + MISSING_LETTER <= budget]
+        while open_:
+            cost, spelt, node = open_.pop()
+            price = cost + MISSING_LETTER
+            for nxt, child in node.items():
+                if nxt and (spelt + nxt not in states or price < states[spelt + nxt][0]):
+                    states[spelt + nxt] = (price, child)
+                    if price + MISSING_LETTER <= budget:
+                        open_.append((price, spelt + nxt, child))
+        return states
+
+    def read(self, token: str, budget: float = FREE) -> str | None:
+        """The canonical spelling of a token, if a word is near enough."""
+        found = self.best(token, budget)
+        return found[2] if found else None
 
 
 def by_table(word: str) -> str:

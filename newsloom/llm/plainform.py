@@ -8,9 +8,12 @@ table.
 
 Layout: texts are made distinct before anything else, so a reprint costs once.
 Only texts with a character outside the plain ranges (a JVM pattern) go on to
-Python.  Vocabulary and odd words are both cut into shards by a hash of their
-skeleton - equal for any two words that match free of cost - so each trie has a
-bounded size, no trie is broadcast, and no match is missed.
+Python.  The vocabulary is cut into shards by a hash of the words' skeletons, so
+each trie has a bounded size and none is broadcast.  A skeleton is equal for any
+two words that match free of cost: with budget 0 (the default) an odd word goes
+to the shard of its skeleton and no match is missed.  With a budget above 0 its
+matches may stand in any shard: it goes to all of them, and the best of their
+answers is taken, whatever the number of shards.
 
 Defined results: null texts stay null; empty and blank texts are plain;
 ordinary spaces are left as they are; an empty table gives no rows.
@@ -48,19 +51,23 @@ def plain_udf(texts: pd.Series, tokens: pd.Series, found: pd.Series) -> pd.Serie
     return pd.Series([one(t, k, w) for t, k, w in zip(texts, tokens, found, strict=True)])
 
 
+FOUND = "token string, cost double, rank bigint, canonical string"
+
+
 def _read_shard(budget: float):
     def read(_: tuple, words: pd.DataFrame, odd: pd.DataFrame) -> pd.DataFrame:
-        if odd.empty or words.empty:
-            return pd.DataFrame({"token": [], "canonical": []}, dtype="object")
-        trie = Trie()
-        for w, n in zip(words["word"], words["n"], strict=True):
-            trie.add(w, int(n))
-        return pd.DataFrame({"token": odd["token"], "canonical": [trie.read(t, budget) for t in odd["token"]]}, dtype="object")
+        found = []
+        if not odd.empty and not words.empty:
+            trie = Trie()
+            for w, n in zip(words["word"], words["n"], strict=True):
+                trie.add(w, int(n))
+            found = [(t, *best) for t in odd["token"] if (best := trie.best(t, budget))]
+        return pd.DataFrame(found, columns=["token", "cost", "rank", "canonical"]).astype({"cost": "float64", "rank": "int64"})
 
     return read
 
 
-def plain_forms(texts: DataFrame, scratch: Scratch, budget: float = 0.0) -> DataFrame:
+def plain_forms(texts: DataFrame, scratch: Scratch, budget: float = 0.0, shard_words: int = SHARD_WORDS) -> DataFrame:
     """``text, plain`` for the distinct texts (column ``text``) that hold an odd character."""
     distinct = scratch.keep(texts.where("text is not null").groupBy("text").agg(F.count("*").alias("n")))
     odd_texts = distinct.where(F.col("text").rlike(ODD_TEXT))
@@ -73,14 +80,17 @@ def plain_forms(texts: DataFrame, scratch: Scratch, budget: float = 0.0) -> Data
         .agg(F.sum("n").alias("n"))
     )
     vocabulary = scratch.keep(words.withColumn("skeleton", skeleton_udf("word")))
-    shards = max(4, vocabulary.count() // SHARD_WORDS + 1)
+    shards = max(4, vocabulary.count() // shard_words + 1)
     shard = F.pmod(F.xxhash64("skeleton"), F.lit(shards)).alias("shard")
     odd = tokens.where("odd").select("token").distinct().withColumn("skeleton", skeleton_udf("token"))
+    meets = shard if budget == 0 else F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(shards - 1).cast("bigint"))).alias("shard")
     found = (
         vocabulary.select(shard, "word", "n")
         .groupBy("shard")
-        .cogroup(odd.select(shard, "token").groupBy("shard"))
-        .applyInPandas(_read_shard(budget), "token string, canonical string")
+        .cogroup(odd.select(meets, "token").groupBy("shard"))
+        .applyInPandas(_read_shard(budget), FOUND)
     )
+    if budget > 0:
+        found = found.groupBy("token").agg(F.min(F.struct("cost", "rank", "canonical")).alias("b")).select("token", "b.canonical")
     spelt = tokens.where("odd").select("text", "token").distinct().join(found, "token", "left").groupBy("text").agg(F.collect_list(F.struct("token", "canonical")).alias("m"))
     return odd_texts.select("text").join(spelt, "text", "left").select("text", plain_udf("text", F.col("m.token"), F.col("m.canonical")).alias("plain"))
