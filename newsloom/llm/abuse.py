@@ -22,8 +22,8 @@ import numpy as np
 
 from newsloom.llm.lookalikes import LOOKS_LIKE, ODD_TEXT, bare
 
-#: Bounds of the labelled sample that the model is fitted on: documents judged abusive, other documents, characters of one.
-SAMPLE_ABUSIVE, SAMPLE_OTHER, SAMPLE_CHARS = 4_000, 10_000, 20_000
+#: Bounds of the labelled sample that the model is fitted on: documents judged abusive, other documents, characters of all of either kind together.
+SAMPLE_ABUSIVE, SAMPLE_OTHER, SAMPLE_CHARS = 4_000, 10_000, 30_000_000
 #: A feature needs this many documents of the sample.
 LEAST_DOCS = 3
 #: A word needs this many documents for a mistyped word to be read as it.

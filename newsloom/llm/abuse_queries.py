@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from newsloom.llm.abuse import SAMPLE_ABUSIVE, SAMPLE_CHARS, SAMPLE_OTHER, Model, sentences
@@ -18,9 +18,10 @@ def fit(docs: DataFrame, labels: DataFrame, abusive: int = SAMPLE_ABUSIVE, other
 
     A document's label is the mean of its distinct judgements.  The sample is at
     most ``abusive`` documents of label 0.5 or more and ``other`` ones, in the
-    order of a hash of their id, without those of more than ``chars`` characters.
-    Each stands for its class's share of all labelled documents; nothing else is
-    collected.
+    order of a hash of their id and whole; one that would bring those of its kind
+    above ``chars`` characters together is passed over.
+    Each stands for its class's share of all labelled documents.  Lengths of the
+    first ones and texts of the chosen ones are collected, nothing else.
     """
     judged = (
         labels.where("doc_id is not null and abusive is not null")
@@ -28,11 +29,25 @@ def fit(docs: DataFrame, labels: DataFrame, abusive: int = SAMPLE_ABUSIVE, other
         .groupBy("doc_id")
         .agg(F.avg("abusive").alias("label"))
     )
-    known = docs.where(F.length("text") <= chars).select("doc_id", "text").join(judged, "doc_id")
+    known = docs.where("text is not null").select("doc_id", "text").join(judged, "doc_id")
     is_bad = F.col("label") >= 0.5
     sizes = known.select(is_bad.alias("bad")).groupBy("bad").agg(F.count("*").alias("n"))
     there = {r["bad"]: r["n"] for r in sizes.collect()}
-    parts = [known.where(is_bad if bad else ~is_bad).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).toPandas() for bad, most in ((True, abusive), (False, other))]
+    nth = F.row_number().over(Window.partitionBy("bad").orderBy("h", "doc_id"))
+    first = known.select("doc_id", is_bad.alias("bad"), F.length("text").alias("chars"), F.xxhash64("doc_id").alias("h")).withColumn("nth", nth)
+    listed = first.where(F.col("nth") <= F.when(F.col("bad"), abusive).otherwise(other)).where(F.col("nth") <= max(abusive, other)).toPandas().sort_values("nth")
+    taken = []
+    for _, kind in listed.groupby("bad"):
+        room = chars
+        for i, n in zip(kind["doc_id"], kind["chars"], strict=True):
+            if n <= room:
+                taken.append((int(i),))
+                room -= n
+    ids = docs.sparkSession.createDataFrame(taken, "doc_id bigint")
+    texts = known.join(F.broadcast(ids), "doc_id").toPandas()
+    order = {int(i): k for i, k in zip(listed["doc_id"], listed["nth"], strict=True)}
+    texts = texts.iloc[texts["doc_id"].map(order).argsort(kind="stable")] if len(texts) else texts
+    parts = [texts[texts["label"] >= 0.5], texts[texts["label"] < 0.5]]
     scale = [there.get(bad, 0) / max(1, len(p)) for bad, p in zip((True, False), parts, strict=True)]
     rows = pd.concat(parts, ignore_index=True)
     weights = np.concatenate([np.full(len(p), s / max(scale[0], 1e-9)) for s, p in zip(scale, parts, strict=True)])

@@ -10,7 +10,7 @@ from newsloom.llm.abuse import Model, clean, sentences
 from newsloom.llm.abuse_queries import fit, scored
 from newsloom.llm.entitynames import Similarity, edits, parse
 from newsloom.llm.linknames import bands_for, candidates, link_names, q_grams, star_clusters
-from newsloom.llm.lookalikes import LOOKS_LIKE, ODD_TEXT, Trie, by_table, is_odd, plain_text, skeleton
+from newsloom.llm.lookalikes import LOOKS_LIKE, ODD_TEXT, Trie, bare, by_table, is_odd, options, plain_text, skeleton
 from newsloom.llm.plainform import plain_forms
 from newsloom.runtime import Scratch
 
@@ -36,7 +36,45 @@ def test_trie_prefers_words_and_counts():
     for w, n in (("holding", 3), ("nolding", 9), ("жулинск", 1), ("ab", 2)):
         t.add(w, n)
     assert t.read("ηοldіnɡ") == "nolding" and t.read("Ho​ldіng") == "holding" and t.read("ΑΒ") == "ab"
-    assert t.read("Жулинск") == "жулинск" and t.read("xyz") is None and t.read("holdings", 1.0) is None and t.read("halding", 1.0) == "holding"
+    assert t.read("Жулинск") == "жулинск" and t.read("xyz") is None and t.read("holdingss", 1.0) is None and t.read("holdings", 1.0) == "holding" and t.read("halding", 1.0) == "holding"
+
+
+WORDS = {"berlin": 5, "madrid": 4, "london": 3, "londo": 9, "lindon": 1, "rom": 2, "paris": 7, "holding": 3}
+
+
+def priced(token: str, budget: float) -> str | None:
+    """Plain edit distance to every word, look-alikes free."""
+    clean = [x for x in bare(token).lower()]
+
+    def cost(word: str) -> int:
+        row = list(range(len(word) + 1))
+        for i, ch in enumerate(clean, 1):
+            before, row = row, [i]
+            for j, y in enumerate(word, 1):
+                row.append(min(before[j] + 1, row[j - 1] + 1, before[j - 1] + (y not in options(ch))))
+        return row[-1]
+
+    best = min((cost(w), -n, w) for w, n in WORDS.items())
+    return best[2] if best[0] <= budget else None
+
+
+TOKENS = ["bеrli", "bеrlim", "mаdrit", "lоndоm", "lоn​don", "раris", "рarris", "rоm", "xyzzу", "hоlding", "оldinɡ"]
+
+
+@pytest.mark.parametrize("budget", [0.0, 1.0, 2.0])
+def test_a_trie_weighs_letters(budget):
+    t = Trie()
+    for w, n in WORDS.items():
+        t.add(w, n)
+    assert {x: t.read(x, budget) for x in TOKENS} == {x: priced(x, budget) for x in TOKENS}
+
+
+@pytest.mark.parametrize("shard_words", [1, 1000])
+def test_a_budget_is_met_whatever_the_shards(spark, shard_words):
+    plain = [w for w, n in WORDS.items() for _ in range(n)]
+    df = spark.createDataFrame([(" ".join([w, str(i)]),) for i, w in enumerate(plain)] + [(x,) for x in TOKENS], "text string")
+    got = {r["text"]: r["plain"] for r in plain_forms(df, Scratch(spark, "t"), 1.0, shard_words).collect()}
+    assert got == {x: plain_text(x, {x: priced(x, 1.0)}) for x in TOKENS}
 
 
 def test_skeletons_meet():
@@ -95,8 +133,8 @@ def test_band_recall_of_typing_errors_holds_as_names_grow(spark, n):
     surnames = {"".join(rng.choice("bdfgklmnrstv") + rng.choice("aeiouy") for _ in range(5)) for _ in range(n)}
     pairs = {(s, swapped(s)) for s in sorted(surnames)[::5]}
     names = sorted(surnames | {b for _, b in pairs})
-    df = spark.createDataFrame([("PER", x, q_grams((x,))) for x in names], "grp string, name string, grams array<string>")
-    got = {(r["a"], r["b"]) for r in candidates(df, {"PER": len(names)}, 3, bands_for(0.35, 0.95, 3), Scratch(spark, "t")).collect()}
+    df = spark.createDataFrame([("PER", i, x, q_grams((x,)), [x]) for i, x in enumerate(names)], "grp string, id bigint, name string, grams array<string>, tokens array<string>")
+    got = {(names[r["a"]], names[r["b"]]) for r in candidates(df, {"PER": len(names)}, 3, bands_for(0.35, 0.95, 3), Scratch(spark, "t"), {"PER": set()}, {}).collect()}
     pairs = {(min(p), max(p)) for p in pairs if p[0] != p[1]}
     assert len(pairs & got) / len(pairs) > 0.96
 
@@ -127,6 +165,44 @@ def test_nothing_is_left_undecided_in_silence(spark):
         link_names(names, many, Scratch(spark, "t"))
 
 
+def names_of_one_surname(n: int) -> tuple[list[str], list[tuple[str, str]]]:
+    rng = random.Random(3)
+    word = lambda k: "".join(rng.choice("bdfgklmnrstv") + rng.choice("aeiouy") for _ in range(k))
+    given = sorted({word(5) for _ in range(n)})
+    names, pairs = [f"{g} hansenrup" for g in given], []
+    for i, g in enumerate(given[::500]):
+        other = [f"hansenrup, {g}", f"{g[:4]}{g[5]}{g[4]}{g[6:]} hansenrup", f"{g} hansenru", f"hr. {g} hansenrups"][i % 4]
+        pairs.append((f"{g} hansenrup", other))
+    return names + [b for _, b in pairs], pairs
+
+
+def test_a_surname_of_thousands_forms_no_pairs_of_all(spark):
+    names, pairs = names_of_one_surname(20_000)
+    df = spark.createDataFrame([("PER", i, x, q_grams(parse(x, "PER")[0]), list(parse(x, "PER")[0])) for i, x in enumerate(names)], "grp string, id bigint, name string, grams array<string>, tokens array<string>")
+    met = candidates(df, {"PER": len(names)}, 3, bands_for(0.35, 0.95, 3), Scratch(spark, "t"), {"PER": set()}, {})
+    got = {(names[r["a"]], names[r["b"]]) for r in met.collect()}
+    assert all((a, b) in got or (b, a) in got for a, b in pairs)
+    assert len(got) < 20 * len(names)
+
+
+@pytest.mark.parametrize("bucket", [128, 1])
+def test_crowded_buckets_lose_no_link(spark, bucket):
+    """With ``bucket`` 1 every name that shares a bucket meets others by its tokens: the links are the same, or more."""
+    rng = random.Random(11)
+    word = lambda k: "".join(rng.choice("bdfgklmnrstv") + rng.choice("aeiouyæøå") for _ in range(k))
+    given = [word(2) for _ in range(12)] + ["annemarie", "kristian"]
+    rows, true = [], {}
+    for i in range(150):
+        g, s = rng.choice(given), word(4)
+        forms = {f"{g} {s}", f"{s}, {g}", f"{g[0]}. {s}", f"{g} {s[:3]}{s[4:]}", f"{g} k. {s}", s}
+        rows += [("PER", f) for f in forms]
+        true[i] = forms
+    df = spark.createDataFrame(rows, "grp string, name string")
+    got = {r["name"]: r["entity"] for r in link_names(df, spark.createDataFrame([], "given_name string, nickname string"), Scratch(spark, "t"), bucket=bucket).collect()}
+    whole = sum(len({got[f] for f in forms}) == 1 for forms in true.values())
+    assert whole >= 0.9 * len(true)
+
+
 def test_linking(spark):
     names = {"PER": ["wanda fælerrudø", "fælerrudø, wanda", "w. fælerrudø", "wanda fælerudø", "wanda faelerrudoe", "jens fælerrudø", "tove pemilbøjø", "", None], "ORG": ["gæsybo energi", "energi, gæsybo ab", "gæsybo en.", "gæsybo foods"]}
     df = spark.createDataFrame([(g, n, 0) for g, ns in names.items() for n in ns], "grp string, name string, entity int")
@@ -177,6 +253,8 @@ def test_scoring_documents(spark):
     model = fit(docs, rows)
     got = {r["doc_id"]: r for r in scored(docs, model).collect()}
     assert len(got) == 303 and got[900]["score"] == 0 and got[900]["sentence"] is None and got[902]["sentence"] == BAD[0]
+    few = fit(docs, rows, 40, 60, chars=4000)  # documents that no longer fit are passed over, not cut
+    assert 0 < len(few.words) < len(model.words) + 1
     empty = fit(docs, rows.limit(0))
     assert scored(docs, empty).where(f"score >= {empty.threshold}").isEmpty()
     assert scored(docs.limit(0), model).isEmpty()
