@@ -2,6 +2,7 @@
 
 import base64
 import random
+import time
 from pathlib import Path
 
 import pytest
@@ -47,6 +48,25 @@ def test_null_and_repeated_keys_are_encoded_each(spark, frequent):
     assert sorted((r["i"], r["n_tokens"]) for r in ids.sizes(docs, "doc_id", "text").collect()) == [(i, len(x)) for i, _, x in got]
 
 
+def test_long_words_equal_the_public_tokenizer(spark):
+    rng = random.Random(8)
+    kinds = ["abcdefghijklmnopqrstuvwxyzæøå", "ab", "a", "日本語文字", "eeeeenrst"]
+    long = ["".join(rng.choice(k) for _ in range(n)) for k in kinds for n in (170, 900, 4000)] + ["-=" * 600, "x" * 161, "sikkerhedsforanstaltning" * 40]
+    docs = spark.createDataFrame(list(enumerate([f"se {x} her" for x in long])), "doc_id bigint, text string")
+    got = {r["doc_id"]: r["ids"] for r in Encoder(docs, "text", Scratch(spark, "t")).ids(docs, "doc_id", "text").collect()}
+    assert got == {i: reference().encode_ordinary(f"se {x} her") for i, x in enumerate(long)}
+
+
+def test_a_word_of_100_000_letters(spark):
+    rng = random.Random(9)
+    text = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(100_000))
+    docs = spark.createDataFrame([(1, text)], "doc_id bigint, text string")
+    began = time.perf_counter()
+    got = Encoder(docs, "text", Scratch(spark, "t")).ids(docs, "doc_id", "text").first()["ids"]
+    print("took", time.perf_counter() - began)
+    assert got == reference().encode_ordinary(text) and time.perf_counter() - began < 60
+
+
 def test_decoding_gives_the_text_back(spark):
     rows = [(i, t) for i, t in enumerate(texts())]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
