@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newsloom.llm.runs import collapse_runs
+from newsloom.runtime import Scratch
 from newsloom.sources import load
 
 
@@ -33,7 +34,7 @@ def reading_events(spark: SparkSession, d: str) -> DataFrame:
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     """Runs of at least two readings of one article, neighbours at most 30 minutes apart."""
-    return collapse_runs(reading_events(spark, d)).select(
+    return collapse_runs(reading_events(spark, d), Scratch(spark, "runs")).select(
         F.col("seq").alias("seq_name"), F.col("entity").alias("user_id"), "first_key", "last_key", F.col("item").alias("article_id"), "n_events", "span_secs"
     )
 

@@ -26,6 +26,8 @@ have no partner; an empty table gives no rows.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -62,7 +64,10 @@ def similar_pairs(
     if two:
         both = both.unionByName(prepared(other, 1))
     arrays = rarity_arrays(both, scratch)
-    piece = F.floor(F.col("ts") / F.lit(span_micros)) if span_micros else F.lit(0).cast("bigint")
+    if span_micros:
+        piece = F.floor(F.col("ts") / F.lit(span_micros))
+    else:
+        piece = F.floor(F.log(F.size("tids")) / F.lit(-math.log(threshold)) + 1e-9) if threshold < 1 else F.size("tids").cast("bigint")
     kept = scratch.keep(arrays.withColumn("slice", piece))
     nodes = scratch.keep(
         kept.groupBy("tids", "slice", F.col("id.side").alias("side"))
@@ -80,11 +85,8 @@ def similar_pairs(
         "node", "side", "slice", "tids", "n", F.posexplode(F.slice("tids", 1, (n - F.ceil(t * n - 1e-9) + 1).cast("int"))).alias("pos", "tid")
     )
     left = prefix.select("tid", F.explode(F.array("slice", F.col("slice") + 1)).alias("meet"), *(F.col(c).alias(f"l_{c}") for c in ("node", "side", "slice", "tids", "n", "pos")))
-    if not span_micros:
-        left = left.where("meet = l_slice")
     if two:  # a partner in the other table may stand in the slice before as well
-        left = left.unionByName(left.where("meet = l_slice").withColumn("meet", F.col("l_slice") - 1)) if span_micros else left
-        left = left.where("l_side = 0")
+        left = left.unionByName(left.where("meet = l_slice").withColumn("meet", F.col("l_slice") - 1)).where("l_side = 0")
     right = prefix.select("tid", F.col("slice").alias("meet"), *(F.col(c).alias(f"r_{c}") for c in ("node", "side", "tids", "n", "pos")))
     if two:
         right = right.where("r_side = 1")

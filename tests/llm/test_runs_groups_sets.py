@@ -4,6 +4,7 @@ import itertools
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from newsloom.llm.groups import consolidate
 from newsloom.llm.runs import collapse_runs
@@ -27,28 +28,38 @@ def brute_runs(rows, gap):
     return out
 
 
-@pytest.mark.parametrize("chunk", [5, 40, 10_000])
-def test_runs(spark, chunk):
-    rng = random.Random(chunk)
+@pytest.mark.parametrize("chunks", [1, 7, 90])
+def test_runs(spark, chunks):
+    rng = random.Random(chunks)
     rows = [(s, e, rng.randrange(400) * 10 * M, k, rng.randrange(3), 0) for s in ("a", "b") for e, n in ((1, 400), (2, 30), (3, 1)) for k in range(n)]
     rows += rng.sample(rows, 50)  # repeated rows
-    got = collapse_runs(spark.createDataFrame(rows, EVENTS).repartition(6), 1800, 2, chunk)
+    got = collapse_runs(spark.createDataFrame(rows, EVENTS).repartition(6), Scratch(spark, "t"), 1800, 2, chunks)
     assert {tuple(r) for r in got.collect()} == brute_runs(rows, 30 * M) and got.count() == got.distinct().count()
 
 
 def test_run_edges(spark):
     rows = [("a", 1, 0, 1, 7, 0), ("a", 1, 30 * M, 2, 7, 0), ("a", 1, 60 * M + 1, 3, 7, 0), ("a", 2, 5, 2, 1, 0), ("a", 2, 5, 1, 1, 0)]
-    got = collapse_runs(spark.createDataFrame(rows, EVENTS))
+    got = collapse_runs(spark.createDataFrame(rows, EVENTS), Scratch(spark, "t"))
     assert {tuple(r) for r in got.collect()} == {("a", 1, 7, 1, 2, 2, 1800), ("a", 2, 1, 1, 2, 2, 0)}
-    assert collapse_runs(spark.createDataFrame([], EVENTS)).isEmpty()
+    assert collapse_runs(spark.createDataFrame([], EVENTS), Scratch(spark, "t")).isEmpty()
 
 
 def test_one_run_over_all_slices(spark):
     rows = [("a", 1, i * M, i, 7, 0) for i in range(500)]
-    got = [tuple(r) for r in collapse_runs(spark.createDataFrame(rows, EVENTS), 1800, 2, 20).collect()]
+    got = [tuple(r) for r in collapse_runs(spark.createDataFrame(rows, EVENTS), Scratch(spark, "t"), 1800, 2, 25).collect()]
     assert got == [("a", 1, 7, 0, 499, 500, 499 * 60)]
 
 
+@pytest.mark.parametrize("spread", [M, 0])
+def test_a_hot_entity_with_an_outlying_time_is_cut_evenly(spark, spread):
+    """One entity has 90 % of the events; one of its times lies far away, or all but that one are equal."""
+    rows = [("a", 1, 10**16 if i == 0 else i * spread, i, i // 3, 0) for i in range(9000)] + [("a", 2 + i % 50, i * M, i, 1, 0) for i in range(1000)]
+    events = spark.createDataFrame(rows, EVENTS)
+    assert {tuple(r) for r in collapse_runs(events, Scratch(spark, "t"), 1800, 2, 10).collect()} == brute_runs(rows, 30 * M)
+    per = events.repartitionByRange(10, "seq", "entity", "ts", "key").groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+    assert per < 2000
+
+
 def brute_groups(rows):
     group = {a: a for a, _ in rows if a is not None}
     by_key = {}
@@ -108,6 +119,15 @@ def test_similar_pairs(spark, threshold):
     assert set(pairs) == want and len(pairs) == len(want)
 
 
+@pytest.mark.parametrize("threshold", [0.5, 0.8, 1.0])
+def test_similar_pairs_without_a_span(spark, threshold):
+    rows = sets(random.Random(7), 120)
+    clean = {i: {x for x in s or [] if x is not None} for i, _, s in rows}
+    want = {(a, b) for a, b in itertools.combinations(sorted(clean), 2) if clean[a] and clean[b] and jaccard(clean[a], clean[b]) >= threshold - 1e-9}
+    got = [(r["id_a"], r["id_b"]) for r in similar_pairs(spark.createDataFrame(rows, "id bigint, ts bigint, tokens array<string>"), Scratch(spark, "t"), threshold).collect()]
+    assert set(got) == want and len(got) == len(want)
+
+
 def test_similar_pairs_of_two_tables(spark):
     rng = random.Random(9)
     left, right = sets(rng, 60), sets(rng, 60, 1000)
