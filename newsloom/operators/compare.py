@@ -13,6 +13,7 @@ def size_summary(events: DataFrame) -> DataFrame:
         F.count("*").cast("double").alias("events"),
         F.sum("n").cast("double").alias("articles"),
         F.count_if(F.col("n") == 1).cast("double").alias("singletons"),
+        F.coalesce(F.round(F.count_if(F.col("n") == 1) / F.count("*"), 6), F.lit(0.0)).alias("singleton_ratio"),
         F.count_if(F.col("n") > 1).cast("double").alias("multi"),
         F.round(F.avg("n"), 6).alias("mean_size"),
         F.median("n").alias("median_size"),
@@ -42,9 +43,45 @@ def coclustered_pairs(events: DataFrame) -> DataFrame:
 
 
 def pair_diff(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Co-clustered pairs of one side only."""
-    p, q = coclustered_pairs(left), coclustered_pairs(right)
-    return q.join(p, ["article_a", "article_b"], "left_anti").withColumn("change", F.lit("ADDED")).unionByName(p.join(q, ["article_a", "article_b"], "left_anti").withColumn("change", F.lit("REMOVED")))
+    """Co-clustered pairs of one side only, with the events of both articles on both sides.
+
+    Only pairs of the result are formed: within an event of one side, articles meet
+    those of another event of the other side; an event that is the same on both
+    sides, however large, forms none.
+    """
+    j = left.select("article_id", F.col("event_id").alias("l")).join(right.select("article_id", F.col("event_id").alias("r")), "article_id")
+
+    def differ(own: str, other: str, change: str) -> DataFrame:
+        several = j.groupBy(own).agg(F.count_distinct(other).alias("n")).where("n > 1").select(own)
+        part = j.join(several, own, "left_semi")
+        a = part.select(F.col(own).alias("e"), *[F.col(c).alias(f"{c}_a") for c in ("article_id", "l", "r")])
+        b = part.select(F.col(own).alias("e"), *[F.col(c).alias(f"{c}_b") for c in ("article_id", "l", "r")])
+        return a.join(b, "e").where(F.col(f"{other}_a") != F.col(f"{other}_b")).where("article_id_a < article_id_b").select(
+            F.lit(change).alias("change"), F.col("article_id_a").alias("article_a"), F.col("article_id_b").alias("article_b"), F.col("l_a").alias("left_event_a"), F.col("l_b").alias("left_event_b"), F.col("r_a").alias("right_event_a"), F.col("r_b").alias("right_event_b"),
+        )
+
+    return differ("r", "l", "ADDED").unionByName(differ("l", "r", "REMOVED"))
+
+
+def pair_counts(left: DataFrame, right: DataFrame) -> DataFrame:
+    """How many co-clustered pairs both sides have, and either side only, from the sizes of events and of what they share."""
+    two = lambda c: F.coalesce(F.sum(F.expr(f"{c} * ({c} - 1) div 2")), F.lit(0)).cast("bigint")
+    cells = left.select("article_id", F.col("event_id").alias("l")).join(right.select("article_id", F.col("event_id").alias("r")), "article_id").groupBy("l", "r").agg(F.count("*").alias("n"))
+    both = cells.agg(two("n").alias("common_pairs"))
+    l, r = (cells.groupBy(c).agg(F.sum("n").alias("n")).agg(two("n")) for c in ("l", "r"))
+    return both.withColumns({"removed_pairs": l.scalar() - F.col("common_pairs"), "added_pairs": r.scalar() - F.col("common_pairs")})
+
+
+def require_same_articles(left: DataFrame, right: DataFrame) -> None:
+    """Two clusterings can be compared only if each holds every article once and both hold the same ones."""
+    for name, side in (("left", left), ("right", right)):
+        n = side.agg((F.count("*") - F.count_distinct("article_id")).alias("n")).first()["n"]
+        if n:
+            raise ValueError(f"the {name} clustering holds {n} repeated or null articles")
+    ids = left.select("article_id", F.lit(1).alias("l")).join(right.select("article_id", F.lit(1).alias("r")), "article_id", "full_outer")
+    lost = ids.agg(F.count_if(F.col("l").isNull()).alias("l"), F.count_if(F.col("r").isNull()).alias("r")).first()
+    if lost["l"] or lost["r"]:
+        raise ValueError(f"{lost['l']} articles are in the right clustering only, {lost['r']} in the left only")
 
 
 def merges_and_splits(left: DataFrame, right: DataFrame) -> DataFrame:

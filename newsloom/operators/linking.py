@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from newsloom.functions.text import word_tokens
-from newsloom.operators.entities import acronym_of, significant_tokens
+from newsloom.operators.entities import link_acronym
 from newsloom.operators.graph import ancestors
 from newsloom.runtime import Scratch
 
@@ -37,8 +37,7 @@ def short_long_candidates(vocabulary: DataFrame) -> DataFrame:
     ``vocabulary``: distinct ``entity_group, entity``.
     """
     per = vocabulary.where("entity_group = 'PER' and entity like '% %'").select("entity_group", F.element_at(F.split("entity", " "), -1).alias("short"), F.col("entity").alias("long"))
-    org = vocabulary.where(F.col("entity_group") == "ORG").where(F.size(significant_tokens(F.col("entity"))) >= 2)
-    org = org.select("entity_group", acronym_of(F.col("entity")).alias("short"), F.col("entity").alias("long")).where("length(short) >= 2 and short <> long")
+    org = vocabulary.where("entity_group = 'ORG'").select("entity_group", link_acronym(F.col("entity")).alias("short"), F.col("entity").alias("long")).where("short is not null")
     known = vocabulary.select("entity_group", F.col("entity").alias("short"))
     return per.unionByName(org).join(known, ["entity_group", "short"], "left_semi")
 

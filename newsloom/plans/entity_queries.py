@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from newsloom.operators import entities as E
 from newsloom.operators.quality import unpivot
+from newsloom.functions.text import entity_key
 from newsloom.plans.base import articles, entity_group_sql, entity_text_sql
 from newsloom.plans.catalog_queries import WITH as CATALOG
 from newsloom.plans.catalog_queries import train_ids, valid
@@ -24,6 +25,36 @@ def _entities(spark: SparkSession, d: str) -> DataFrame:
     return E.article_entities(_mentions(spark, d))
 
 
+def respelled(m: DataFrame) -> DataFrame:
+    """Mentions as careless editors would write them, by article: the same in Spark and SQL.
+
+    The given tables hold hardly a hyphen, acronym or legal suffix; so the rules
+    that look for these, and the comparison of clusterings with and without them,
+    read all mentions with the names of every seventh article hyphenated, of the
+    next with a genitive s, then with a suffix, as an acronym, with full stops,
+    with a word added, and of the last as they stand.
+    """
+    e, org, many = F.col("normalized_entity"), F.col("entity_group") == "ORG", F.col("normalized_entity").contains(" ")
+    kind = F.pmod("article_id", F.lit(7))
+    initials = F.array_join(F.transform(F.split(e, " "), lambda x: F.left(x, F.lit(1))), "")
+    new = (
+        F.when((kind == 0) & many, F.translate(e, " ", "-"))
+        .when(kind == 1, F.concat(e, F.lit("s")))
+        .when((kind == 2) & org, F.concat(e, F.lit(" a/s")))
+        .when((kind == 3) & org & many, initials)
+        .when((kind == 4) & org, F.replace(e, F.lit(" "), F.lit(". ")))
+        .when((kind == 5) & org, F.concat(e, F.lit(" gruppen")))
+        .otherwise(e)
+    )
+    return m.withColumn("normalized_entity", new).withColumn("baseline_entity_key", entity_key(F.col("entity_group"), F.col("normalized_entity")))
+
+
+def _respelled(spark: SparkSession, d: str, version: str = "v2") -> DataFrame:
+    """Canonical mentions of the respelled text, written once."""
+    scratch = Scratch(spark, "respelled")
+    return scratch.keep(E.article_entities(scratch.keep(respelled(_mentions(spark, d))), version=version))
+
+
 def _df(spark: SparkSession, d: str) -> DataFrame:
     return E.document_frequency(_mentions(spark, d), "normalized_entity")
 
@@ -42,7 +73,8 @@ def possessive_candidates(spark: SparkSession, d: str) -> DataFrame:
 
 
 def hyphen_map(spark: SparkSession, d: str) -> DataFrame:
-    e = E.article_entities(_mentions(spark, d), version="v1").where("is_train_used")
+    """Hyphen map of the respelled mentions."""
+    e = _respelled(spark, d, "v1").where("is_train_used")
     return E.hyphen_map(e.select("entity_group", F.col("canonical_entity").alias("entity")).distinct())
 
 
@@ -109,10 +141,10 @@ def token_containment(spark: SparkSession, d: str) -> DataFrame:
 
 
 def containment_cooccurrence(spark: SparkSession, d: str) -> DataFrame:
-    """Contained surfaces that stand in one article with the longer one."""
+    """Contained surfaces that stand in one article with the longer one, with the first ten articles."""
     p = E.token_containment(_df(spark, d)).select(F.concat("entity_group", F.lit("::"), "short_entity").alias("short_key"), F.concat("entity_group", F.lit("::"), "full_entity").alias("full_key"))
     sets = E.entity_sets(_mentions(spark, d).where("is_train_used"), "baseline_entity_key")
-    return E.cooccurrence(p, sets, "short_key", "full_key").where("n_articles > 0")
+    return E.cooccurrence(p, sets, "short_key", "full_key", 10).where("n_articles > 0")
 
 
 def cross_type_surfaces(spark: SparkSession, d: str) -> DataFrame:
@@ -137,49 +169,109 @@ def entity_summary(spark: SparkSession, d: str) -> DataFrame:
     return unpivot(row).unionByName(unpivot(other))
 
 
+def _rules(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Buckets of the rules over respelled mentions after the possessive map, and the articles of each surface."""
+    e = _respelled(spark, d, "v1")
+    sets = e.where("is_train_used").select("article_id", "entity_group", F.col("canonical_entity").alias("entity")).distinct()
+    return E.rule_buckets(E.surface_statistics(e)), sets
+
+
+def surface_statistics(spark: SparkSession, d: str) -> DataFrame:
+    """Canonical surfaces of train with their articles and mentions."""
+    return E.surface_statistics(_entities(spark, d))
+
+
 def rule_collisions(spark: SparkSession, d: str) -> DataFrame:
-    return E.rule_collisions(_df(spark, d))
+    return E.rule_collisions(*_rules(spark, d))
+
+
+def rule_mappings(spark: SparkSession, d: str) -> DataFrame:
+    return E.rule_mappings(*_rules(spark, d))
+
+
+def rule_summary(spark: SparkSession, d: str) -> DataFrame:
+    return E.rule_summary(*_rules(spark, d))
 
 
 def char_inventory(spark: SparkSession, d: str) -> DataFrame:
     return E.character_inventory(_mentions(spark, d).where("is_train_used"))
 
 
+def _aliases(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Surfaces of the respelled text after both maps, and the articles each stands in."""
+    e = _respelled(spark, d)
+    return Scratch(spark, "aliases").keep(E.surface_statistics(e)), e.where("is_train_used").select("article_id", F.col("canonical_entity_key").alias("entity")).distinct()
+
+
+def _with_evidence(c: DataFrame, sets: DataFrame, variant: str, base: str) -> DataFrame:
+    """Candidates with the articles both stand in: how many, their share of the rarer one's, the first five."""
+    keyed = c.withColumns({"a": F.concat(F.lit("ORG::"), variant), "b": F.concat(F.lit("ORG::"), base)})
+    seen = E.cooccurrence(keyed, sets, "a", "b")
+    least = F.least(*[F.col(x) for x in c.columns if x.endswith("_df")])
+    return seen.withColumn("overlap_ratio", F.round(F.when(least > 0, F.col("n_articles") / least).otherwise(0.0), 6)).drop("a", "b", "first_article")
+
+
+def _acronyms(df: DataFrame, sets: DataFrame) -> DataFrame:
+    seen = _with_evidence(E.acronym_candidates(df), sets, "short_entity", "long_entity")
+    tier = (
+        F.when((F.col("n_longs") == 1) & (F.col("n_articles") >= 2) & (F.col("short_df") >= 2), "SAFE")
+        .when((F.col("n_longs") == 1) & (F.col("n_articles") >= 1), "STRONG")
+        .when(F.col("n_longs") > 1, "AMBIGUOUS")
+        .otherwise("WEAK")
+    )
+    return seen.withColumn("tier", tier)
+
+
 def acronym_candidates(spark: SparkSession, d: str) -> DataFrame:
     """Acronyms with the articles both stand in, and how safe they are."""
-    c = E.acronym_candidates(_df(spark, d)).withColumns({"long_key": F.concat(F.lit("ORG::"), "long_entity"), "short_key": F.concat(F.lit("ORG::"), "short_entity")})
-    seen = E.cooccurrence(c, E.entity_sets(_mentions(spark, d).where("is_train_used"), "baseline_entity_key"), "long_key", "short_key")
-    tier = F.when((F.col("n_longs") == 1) & (F.col("n_articles") >= 2) & (F.col("short_df") >= 2), "SAFE").when(F.col("n_longs") > 1, "AMBIGUOUS").when(F.col("n_articles") > 0, "STRONG").otherwise("WEAK")
-    return seen.select("long_entity", "short_entity", "long_df", "short_df", "n_longs", "n_articles", tier.alias("tier"))
+    return _acronyms(*_aliases(spark, d))
 
 
 def punctuation_candidates(spark: SparkSession, d: str) -> DataFrame:
-    return E.punctuation_candidates(_df(spark, d))
+    df, sets = _aliases(spark, d)
+    return _with_evidence(E.punctuation_candidates(df), sets, "variant", "canonical")
 
 
 def legal_suffix_candidates(spark: SparkSession, d: str) -> DataFrame:
-    return E.legal_suffix_candidates(_df(spark, d))
+    df, sets = _aliases(spark, d)
+    return _with_evidence(E.legal_suffix_candidates(df), sets, "variant", "canonical")
 
 
 def short_form_candidates(spark: SparkSession, d: str) -> DataFrame:
-    return E.short_form_candidates(_df(spark, d))
+    df, sets = _aliases(spark, d)
+    return _with_evidence(E.short_form_candidates(df), sets, "variant", "base")
 
 
-def v3_candidates(spark: SparkSession, d: str) -> DataFrame:
-    """All inspected alias candidates of organisations, distinct by rule and pair, counted by rule."""
+def _all_aliases(df: DataFrame) -> DataFrame:
+    tier = F.lit("REVIEW").alias("tier")
+    n, safe = F.col("n_longs"), F.lit("AMBIGUOUS")
     parts = [
-        acronym_candidates(spark, d).select(F.lit("acronym").alias("rule"), F.col("short_entity").alias("variant"), F.col("long_entity").alias("candidate")),
-        punctuation_candidates(spark, d).select(F.lit("punctuation").alias("rule"), "variant", F.col("canonical").alias("candidate")),
-        legal_suffix_candidates(spark, d).select(F.lit("legal_suffix").alias("rule"), "variant", F.col("canonical").alias("candidate")),
-        short_form_candidates(spark, d).select(F.lit("short_form").alias("rule"), "variant", F.col("base").alias("candidate")),
+        E.acronym_candidates(df).select(F.lit("acronym").alias("rule"), F.col("short_entity").alias("variant"), F.col("long_entity").alias("candidate"), F.when(n > 1, safe).otherwise("UNIQUE").alias("tier")),
+        E.punctuation_candidates(df).select(F.lit("punctuation").alias("rule"), "variant", F.col("canonical").alias("candidate"), "tier"),
+        E.legal_suffix_candidates(df).select(F.lit("legal_suffix").alias("rule"), "variant", F.col("canonical").alias("candidate"), "tier"),
+        E.short_form_candidates(df).select(F.lit("short_form").alias("rule"), "variant", F.col("base").alias("candidate"), tier),
     ]
-    return reduce(DataFrame.unionByName, parts).dropDuplicates(["rule", "variant", "candidate"]).groupBy("rule").agg(F.count("*").alias("n_candidates"))
+    return reduce(DataFrame.unionByName, parts).dropDuplicates(["rule", "variant", "candidate"])
+
+
+def v3_candidates(spark: SparkSession, d: str) -> DataFrame:
+    """All inspected alias candidates of organisations, distinct by rule and pair, counted by rule and tier."""
+    return _all_aliases(_aliases(spark, d)[0]).groupBy("rule", "tier").agg(F.count("*").alias("n_candidates"), F.count_distinct("variant").alias("n_variants"))
+
+
+def v3_top_examples(spark: SparkSession, d: str) -> DataFrame:
+    """The twenty alias candidates of each rule that stand in one article most often; the limit is the feature."""
+    df, sets = _aliases(spark, d)
+    c = _all_aliases(df).withColumns({"a": F.concat(F.lit("ORG::"), "variant"), "b": F.concat(F.lit("ORG::"), "candidate")})
+    seen = E.cooccurrence(c, sets, "a", "b").select("rule", "variant", "candidate", "n_articles")
+    w = Window.partitionBy("rule").orderBy(F.desc("n_articles"), "variant", "candidate")
+    return seen.withColumn("place", F.row_number().over(w).cast("bigint")).where("place <= 20")
 
 
 _names = (
     "mentions possessive_map possessive_candidates hyphen_map article_entities normalization_stats entity_sets list_mismatch entity_group_stats top_entities raw_variants df1_fragmentation "
-    "token_containment containment_cooccurrence cross_type_surfaces type_pair_counts entity_summary rule_collisions char_inventory acronym_candidates punctuation_candidates "
-    "legal_suffix_candidates short_form_candidates v3_candidates"
+    "token_containment containment_cooccurrence cross_type_surfaces type_pair_counts entity_summary surface_statistics rule_collisions rule_mappings rule_summary char_inventory acronym_candidates punctuation_candidates "
+    "legal_suffix_candidates short_form_candidates v3_candidates v3_top_examples"
 ).split()
 QUERIES = {n: globals()[n] for n in _names}
 
@@ -190,27 +282,47 @@ def _q(s: str) -> str:
 
 _DASH = lambda x: f"translate({x}, {_q(E.DASHES)}, {_q('-' * len(E.DASHES))})"
 _TIDY = lambda x: f"trim(regexp_replace({x}, '\\s+', ' ', 'g'), ' ')"
-#: More shared CTEs: m mentions, sdf train surfaces, pos / hyp maps, ae canonical mentions, es distinct (article, key).
+
+
+def chain_sql(p: str, source: str) -> str:
+    """CTEs from a mention table to canonical mentions, each name with the prefix ``p``: sdf surfaces, pos / hyp maps, ae canonical mentions, es distinct (article, key), bs keys before."""
+    spaced = _TIDY(f"replace({_DASH('v.entity')}, '-', ' ')")
+    return f""",
+{p}sdf as materialized (select entity_group, normalized_entity entity, count(distinct article_id) df from {source} where is_train_used group by 1, 2),
+{p}posc as (select v.entity_group, v.entity variant_entity, v.df variant_df, b.entity base_entity, b.df base_df from {p}sdf v join {p}sdf b on v.entity_group = b.entity_group and v.entity = b.entity || 's'),
+{p}pos as materialized (select * from {p}posc where entity_group in ('PER', 'ORG', 'LOC') and length(base_entity) >= 3 and base_df >= 2 and base_df >= variant_df and (entity_group <> 'PER' or contains(base_entity, ' '))),
+{p}m2 as materialized (select k.*, {p}pos.base_entity possessive, coalesce({p}pos.base_entity, k.normalized_entity) first_form from {source} k left join {p}pos on {p}pos.entity_group = k.entity_group and {p}pos.variant_entity = k.normalized_entity),
+{p}s2 as materialized (select distinct entity_group, first_form entity from {p}m2 where is_train_used),
+{p}hyp as materialized (select v.entity_group, v.entity variant_entity, {spaced} base_entity from {p}s2 v
+  where {spaced} <> v.entity and not starts_with({_DASH('v.entity')}, '-') and not ends_with({_DASH('v.entity')}, '-')
+  and exists (select 1 from {p}s2 t where t.entity_group = v.entity_group and t.entity = {spaced})),
+{p}ae as materialized (select k.*, coalesce(h.base_entity, first_form) canonical_entity, k.entity_group || '::' || coalesce(h.base_entity, first_form) canonical_entity_key,
+  case when possessive is not null and h.base_entity is not null then 'safe_possessive_v1+safe_hyphen_v2' when possessive is not null then 'safe_possessive_v1' when h.base_entity is not null then 'safe_hyphen_v2' else 'baseline' end processing_method
+  from {p}m2 k left join {p}hyp h on h.entity_group = k.entity_group and h.variant_entity = k.first_form),
+{p}es as materialized (select distinct article_id, canonical_entity_key entity from {p}ae),
+{p}bs as materialized (select distinct article_id, baseline_entity_key entity from {source} where is_train_used)"""
+
+
+#: More shared CTEs: m mentions and what ``chain_sql`` makes of them.
 WITH = CATALOG + f""",
 m0 as (select article_id, i - 1 entity_position, ner_clusters[i] raw_entity, entity_groups[i] raw_entity_group from (select *, unnest(range(1, len(ner_clusters) + 1)) i from va)),
 m1 as materialized (select *, {entity_text_sql('raw_entity')} normalized_entity, {entity_group_sql('raw_entity_group')} entity_group from m0 where raw_entity is not null and raw_entity_group is not null),
-m as materialized (select m1.*, entity_group || '::' || normalized_entity baseline_entity_key, article_id in (select article_id from tu) is_train_used from m1 where normalized_entity <> '' and entity_group <> ''),
-sdf as materialized (select entity_group, normalized_entity entity, count(distinct article_id) df from m where is_train_used group by 1, 2),
-posc as (select v.entity_group, v.entity variant_entity, v.df variant_df, b.entity base_entity, b.df base_df from sdf v join sdf b on v.entity_group = b.entity_group and v.entity = b.entity || 's'),
-pos as materialized (select * from posc where entity_group in ('PER', 'ORG', 'LOC') and length(base_entity) >= 3 and base_df >= 2 and base_df >= variant_df and (entity_group <> 'PER' or contains(base_entity, ' '))),
-m2 as materialized (select m.*, pos.base_entity possessive, coalesce(pos.base_entity, m.normalized_entity) first_form from m left join pos on pos.entity_group = m.entity_group and pos.variant_entity = m.normalized_entity),
-s2 as materialized (select distinct entity_group, first_form entity from m2 where is_train_used),
-hyp as materialized (select v.entity_group, v.entity variant_entity, {_TIDY(f"replace({_DASH('v.entity')}, '-', ' ')")} base_entity from s2 v
-  where {_TIDY(f"replace({_DASH('v.entity')}, '-', ' ')")} <> v.entity and not starts_with({_DASH('v.entity')}, '-') and not ends_with({_DASH('v.entity')}, '-')
-  and exists (select 1 from s2 t where t.entity_group = v.entity_group and t.entity = {_TIDY(f"replace({_DASH('v.entity')}, '-', ' ')")})),
-ae as materialized (select m2.*, coalesce(hyp.base_entity, first_form) canonical_entity, m2.entity_group || '::' || coalesce(hyp.base_entity, first_form) canonical_entity_key,
-  case when possessive is not null and hyp.base_entity is not null then 'safe_possessive_v1+safe_hyphen_v2' when possessive is not null then 'safe_possessive_v1' when hyp.base_entity is not null then 'safe_hyphen_v2' else 'baseline' end processing_method
-  from m2 left join hyp on hyp.entity_group = m2.entity_group and hyp.variant_entity = m2.first_form),
-es as materialized (select distinct article_id, canonical_entity_key entity from ae),
-bs as materialized (select distinct article_id, baseline_entity_key entity from m where is_train_used),
+m as materialized (select m1.*, entity_group || '::' || normalized_entity baseline_entity_key, article_id in (select article_id from tu) is_train_used from m1 where normalized_entity <> '' and entity_group <> '')""" + chain_sql("", "m") + """,
 tc as (select s.entity_group, s.entity short_entity, s.df short_df, f.entity full_entity, f.df full_df from sdf s join (select *, unnest(list_distinct(string_split(entity, ' '))) tok from sdf where contains(entity, ' ')) f
   on f.entity_group = s.entity_group and f.tok = s.entity where not contains(s.entity, ' '))
 """
+#: Respelled mentions (rm) and their chain (r_), surfaces after the possessive map (v1) and after both (v2) with their articles.
+RESPELLED = WITH + """,
+rm as materialized (select * replace (case when article_id % 7 = 0 and contains(normalized_entity, ' ') then replace(normalized_entity, ' ', '-') when article_id % 7 = 1 then normalized_entity || 's'
+    when entity_group <> 'ORG' then normalized_entity when article_id % 7 = 2 then normalized_entity || ' a/s'
+    when article_id % 7 = 3 and contains(normalized_entity, ' ') then array_to_string(list_transform(string_split(normalized_entity, ' '), lambda x: left(x, 1)), '')
+    when article_id % 7 = 4 then replace(normalized_entity, ' ', '. ') when article_id % 7 = 5 then normalized_entity || ' gruppen' else normalized_entity end as normalized_entity) from m),
+rn as materialized (select * replace (entity_group || '::' || normalized_entity as baseline_entity_key) from rm)""" + chain_sql("r_", "rn") + """,
+v1 as materialized (select entity_group, first_form entity, count(distinct article_id) df, count(*) mentions from r_m2 where is_train_used group by 1, 2),
+v1s as materialized (select distinct article_id, entity_group, first_form entity from r_m2 where is_train_used),
+v2 as materialized (select entity_group, canonical_entity entity, count(distinct article_id) df, count(*) mentions from r_ae where is_train_used group by 1, 2),
+v2s as materialized (select distinct article_id, canonical_entity_key entity from r_ae where is_train_used)
+"""
 _APOS = lambda x: f"translate({x}, {_q(E.APOSTROPHES)}, {_q(chr(39) * len(E.APOSTROPHES))})"
 _DQ = lambda x: f"translate({x}, {_q(E.DOUBLE_QUOTES)}, {_q(chr(34) * len(E.DOUBLE_QUOTES))})"
 _UNQ = _TIDY(_DQ(_APOS("entity")))
@@ -225,28 +337,48 @@ _RULES = {
     "terminal_punctuation": _TIDY(f"regexp_replace({_TIDY('entity')}, '[.,;:!?]+$', '')"),
 }
 _TOK = lambda x: rf"regexp_extract_all({x}, '[\p{{L}}\p{{N}}]+')"
-_SIG = f"list_filter({_TOK('entity')}, lambda x: x not in ({', '.join(_q(x) for x in E.ACRONYM_STOP_WORDS)}))"
-_ACR = f"array_to_string(list_transform({_SIG}, lambda x: case when length(x) <= 3 then x else left(x, 1) end), '')"
-_ACRONYMS = f"""(select l.entity long_entity, l.df long_df, s.entity short_entity, s.df short_df, count(*) over (partition by s.entity) n_longs
-  from (select *, {_ACR} acr from sdf where entity_group = 'ORG' and len({_SIG}) >= 2) l join sdf s on s.entity = l.acr and s.entity_group = 'ORG' and not contains(s.entity, ' ') and length(s.entity) between 2 and 8 where s.entity <> l.entity)"""
-_ACR_SEEN = f"""(select a.*, (select count(*) from bs x join bs y using (article_id) where x.entity = 'ORG::' || a.long_entity and y.entity = 'ORG::' || a.short_entity) n_articles from {_ACRONYMS} a)"""
-_PUNCT = f"""(select entity variant, first_value(entity) over w canonical, df variant_df, max(df) over (partition by signature) canonical_df, row_number() over w place, count(*) over (partition by signature) n
-  from (select *, array_to_string({_TOK('entity')}, '') signature from sdf where entity_group = 'ORG') where signature <> '' window w as (partition by signature order by df desc, entity))"""
+_quoted = lambda words: ", ".join(_q(x) for x in words)
+_BUCKETS = ", st as (" + " union all ".join(f"select '{n}' rule, entity_group, entity, df, mentions, {e} canonical from v1" for n, e in _RULES.items()) + """),
+bk as materialized (select * from (select *, count(*) over p n, bool_or(entity <> canonical) over p changed from st where canonical <> '' window p as (partition by rule, entity_group, canonical)) where n > 1 and changed)
+"""
+_SIG = f"list_filter({_TOK('entity')}, lambda x: x not in ({_quoted(E.ALIAS_STOP_WORDS)}))"
+_INITIALS = f"array_to_string(list_transform({_SIG}, lambda x: left(x, 1)), '')"
+_EXPANDED = f"array_to_string(list_transform({_SIG}, lambda x: case when x in ({_quoted(E.WHOLE_WORDS)}) then x else left(x, 1) end), '')"
+_ONE_WORD = f"array_to_string({_TOK('entity')}, '')"
+_ACRONYMS = f"""(select *, count(*) over (partition by short_entity) n_longs from (select l.entity long_entity, l.df long_df, s.entity short_entity, s.df short_df, l.sg signature
+  from (select entity, df, sg from (select *, {_INITIALS} sg from v2 where entity_group = 'ORG' and len({_SIG}) >= 2 union select *, {_EXPANDED} from v2 where entity_group = 'ORG' and len({_SIG}) >= 2) where length(sg) between 2 and 8) l
+  join (select *, {_ONE_WORD} sg from v2 where entity_group = 'ORG' and len({_TOK('entity')}) = 1) s on s.sg = l.sg and length(s.sg) between 2 and 8 where s.entity <> l.entity))"""
+_COLLAPSED = f"""array_to_string(list_transform({_TOK('entity')}, lambda x, i: case when i = 1 or (regexp_matches(x, '^\\p{{L}}$') and regexp_matches({_TOK('entity')}[i - 1], '^\\p{{L}}$')) then x else ' ' || x end), '')"""
+_PUNCT = f"""(select signature, group_size, case when b.df > a.df then a.entity else b.entity end variant, case when b.df > a.df then b.entity else a.entity end canonical, least(a.df, b.df) variant_df, greatest(a.df, b.df) canonical_df,
+  case when group_size = 2 and greatest(a.df, b.df) >= 2 then 'SAFE' else 'REVIEW' end tier
+  from (select *, {_COLLAPSED} signature, count(*) over (partition by {_COLLAPSED}) group_size from v2 where entity_group = 'ORG') a
+  join (select *, {_COLLAPSED} signature from v2 where entity_group = 'ORG') b using (signature) where a.entity < b.entity and signature <> '')"""
 _LEGAL = f"""(select v.entity variant, b.entity canonical, v.df variant_df, b.df canonical_df, case when b.df >= 2 and b.df >= v.df then 'SAFE' else 'REVIEW' end tier
-  from (select *, regexp_extract(array_to_string({_TOK('entity')}, ' '), {_q('^(.+?) (?:' + '|'.join(sorted(E.LEGAL_SUFFIXES, key=lambda x: (-len(x), x))) + ')$')}, 1) base from sdf where entity_group = 'ORG') v
-  join (select *, array_to_string({_TOK('entity')}, ' ') words from sdf where entity_group = 'ORG') b on v.base = b.words where v.base <> '' and v.entity <> b.entity)"""
+  from (select *, regexp_extract(array_to_string({_TOK('entity')}, ' '), {_q('^(.+?) (?:' + '|'.join(sorted(map(' '.join, E.LEGAL_SUFFIXES), key=lambda x: (-len(x), x))) + ')$')}, 1) base from v2 where entity_group = 'ORG') v
+  join (select *, array_to_string({_TOK('entity')}, ' ') words from v2 where entity_group = 'ORG') b on v.base = b.words where v.base <> '' and v.entity <> b.entity)"""
 _SHORT = """(select v.entity variant, b.entity base, cut, v.df variant_df, b.df base_df from (
-  select entity, df, 'prefix1' cut, array_to_string(string_split(entity, ' ')[2:], ' ') base, len(string_split(entity, ' ')) > 1 ok from sdf where entity_group = 'ORG'
-  union all select entity, df, 'prefix2', array_to_string(string_split(entity, ' ')[3:], ' '), len(string_split(entity, ' ')) > 2 from sdf where entity_group = 'ORG'
-  union all select entity, df, 'suffix1', array_to_string(string_split(entity, ' ')[:-2], ' '), len(string_split(entity, ' ')) > 1 from sdf where entity_group = 'ORG'
-  union all select entity, df, 'suffix2', array_to_string(string_split(entity, ' ')[:-3], ' '), len(string_split(entity, ' ')) > 2 from sdf where entity_group = 'ORG') v
-  join sdf b on b.entity_group = 'ORG' and b.entity = v.base where v.ok and length(v.base) >= 5)"""
+  select entity, df, 'prefix1' cut, array_to_string(string_split(entity, ' ')[2:], ' ') base, len(string_split(entity, ' ')) > 1 ok from v2 where entity_group = 'ORG'
+  union all select entity, df, 'prefix2', array_to_string(string_split(entity, ' ')[3:], ' '), len(string_split(entity, ' ')) > 2 from v2 where entity_group = 'ORG'
+  union all select entity, df, 'suffix1', array_to_string(string_split(entity, ' ')[:-2], ' '), len(string_split(entity, ' ')) > 1 from v2 where entity_group = 'ORG'
+  union all select entity, df, 'suffix2', array_to_string(string_split(entity, ' ')[:-3], ' '), len(string_split(entity, ' ')) > 2 from v2 where entity_group = 'ORG') v
+  join v2 b on b.entity_group = 'ORG' and b.entity = v.base where v.ok and length(v.base) >= 5)"""
+
+
+def _evidence_sql(source: str, variant: str, base: str, dfs: tuple[str, str]) -> str:
+    """Rows of ``source`` with the articles both names stand in."""
+    return f"""(select *, round(case when least({dfs[0]}, {dfs[1]}) > 0 then n_articles / least({dfs[0]}, {dfs[1]}) else 0.0 end, 6) overlap_ratio from (
+  select c.*, coalesce(x.n, 0) n_articles, x.ids example_ids from {source} c left join (select p.v, p.b, count(*) n, array_to_string(list_sort(list(i.article_id))[1:5], ',') ids
+    from (select distinct {variant} v, {base} b from {source}) p join v2s i on i.entity = 'ORG::' || p.v join v2s j on j.entity = 'ORG::' || p.b and j.article_id = i.article_id group by 1, 2) x on x.v = c.{variant} and x.b = c.{base}))"""
+
+
+_ALIASES = f"""(select 'acronym' rule, short_entity variant, long_entity candidate, max(case when n_longs > 1 then 'AMBIGUOUS' else 'UNIQUE' end) tier from {_ACRONYMS} group by 1, 2, 3 union all select distinct 'punctuation', variant, canonical, tier from {_PUNCT}
+  union all select distinct 'legal_suffix', variant, canonical, tier from {_LEGAL} union all select distinct 'short_form', variant, base, 'REVIEW' from {_SHORT})"""
 _D1 = "count(*) entities, count(*) filter (df = 1) df1_entities, round(count(*) filter (df = 1) / count(*), 6) ratio from sdf"
 SQL = {
     "mentions": WITH + "select article_id, entity_position, raw_entity, raw_entity_group, normalized_entity, entity_group, baseline_entity_key, is_train_used from m",
     "possessive_map": WITH + "select * from pos",
     "possessive_candidates": WITH + "select * from posc where length(variant_entity) > 2",
-    "hyphen_map": WITH + "select * from hyp",
+    "hyphen_map": RESPELLED + "select * from r_hyp",
     "article_entities": WITH + "select article_id, entity_position, baseline_entity_key, canonical_entity_key, processing_method, is_train_used from ae",
     "normalization_stats": WITH + """select count(*) n_mentions, count(*) filter (baseline_entity_key <> canonical_entity_key) changed_mentions, count(distinct article_id) filter (baseline_entity_key <> canonical_entity_key) changed_articles,
   (select count(*) from (select distinct article_id, baseline_entity_key from ae)) pairs_before, (select count(*) from es) pairs_after from ae""",
@@ -259,22 +391,29 @@ SQL = {
     "raw_variants": WITH + "select entity_group, normalized_entity, count(distinct raw_entity) n_forms, count(distinct article_id) articles from m group by 1, 2 having count(distinct raw_entity) > 1",
     "df1_fragmentation": WITH + f"select 'ALL' entity_group, {_D1} union all select entity_group, {_D1} group by entity_group",
     "token_containment": WITH + "select * from tc",
-    "containment_cooccurrence": WITH + """select entity_group || '::' || short_entity short_key, entity_group || '::' || full_entity full_key, count(*) n_articles, min(x.article_id) first_article
+    "containment_cooccurrence": WITH + """select entity_group || '::' || short_entity short_key, entity_group || '::' || full_entity full_key, count(*) n_articles, min(x.article_id) first_article, array_to_string(list_sort(list(x.article_id))[1:10], ',') example_ids
   from tc join bs x on x.entity = entity_group || '::' || short_entity join bs y on y.article_id = x.article_id and y.entity = entity_group || '::' || full_entity group by 1, 2""",
     "cross_type_surfaces": WITH + "select entity, count(*) n_groups, string_agg(entity_group, '|' order by entity_group) groups, cast(sum(df) as bigint) total_df from sdf group by 1 having count(*) > 1",
     "type_pair_counts": WITH + "select a.entity_group group_a, b.entity_group group_b, count(*) n_surfaces from sdf a join sdf b on a.entity = b.entity and a.entity_group < b.entity_group group by 1, 2",
     "entity_summary": WITH + """select 'mentions_total' metric, count(*) \"value\" from m union all select 'mentions_train', count(*) from m where is_train_used union all select 'entities_train', count(*) from sdf
   union all select 'df1_entities', count(*) from sdf where df = 1 union all select 'containment_pairs', count(*) from tc union all select 'possessive_candidates', count(*) from posc""",
-    "rule_collisions": WITH + ", st as (" + " union all ".join(f"select '{n}' rule, entity_group, entity, df, {e} result from sdf" for n, e in _RULES.items()) + """),
-  rk as (select *, count(*) over p n, max(case when entity <> result then 1 else 0 end) over p changed, row_number() over w place, first_value(entity) over w canonical from st
-    window p as (partition by rule, entity_group, result), w as (partition by rule, entity_group, result order by df desc, entity))
-  select rule, entity_group, entity variant, canonical, df from rk where n > 1 and changed = 1 and place > 1""",
+    "surface_statistics": WITH + "select entity_group, canonical_entity entity, count(distinct article_id) df, count(*) mentions from ae where is_train_used group by 1, 2",
+    "rule_collisions": RESPELLED + _BUCKETS + """select b.rule, b.entity_group, b.canonical, bool_or(b.entity = b.canonical) observed, count(*) surface_count, string_agg(b.entity, '|' order by df desc, mentions desc, b.entity) surfaces,
+  string_agg(cast(df as varchar), '|' order by df desc, mentions desc, b.entity) surface_dfs, string_agg(cast(mentions as varchar), '|' order by df desc, mentions desc, b.entity) surface_mentions,
+  any_value(u.n) union_df from bk b join (select rule, entity_group, canonical, count(distinct article_id) n from bk join v1s using (entity_group, entity) group by 1, 2, 3) u using (rule, entity_group, canonical) group by 1, 2, 3""",
+    "rule_mappings": RESPELLED + _BUCKETS + """select b.rule, b.entity_group, b.entity variant, b.canonical, b.df variant_df, coalesce(c.df, 0) canonical_df, c.df is not null observed,
+  (select count(*) from v1s x join v1s y using (article_id) where x.entity_group = b.entity_group and y.entity_group = b.entity_group and x.entity = b.entity and y.entity = b.canonical) cooccurrence
+  from bk b left join v1 c on c.entity_group = b.entity_group and c.entity = b.canonical where b.entity <> b.canonical""",
+    "rule_summary": RESPELLED + _BUCKETS + """select rule, count(distinct (entity_group, canonical)) collision_groups, count(distinct (entity_group, canonical, entity)) filter (entity <> canonical) mapping_candidates, count(distinct article_id) affected_articles
+  from bk join v1s using (entity_group, entity) group by 1""",
     "char_inventory": WITH + r"""select ch, count(*) occurrences, count(distinct article_id) articles, count(distinct normalized_entity) surfaces from (
   select article_id, normalized_entity, unnest(string_split(normalized_entity, '')) ch from m where is_train_used) where regexp_matches(ch, '^[\p{P}\p{Cf}]$') group by 1""",
-    "acronym_candidates": WITH + f"""select *, case when n_longs = 1 and n_articles >= 2 and short_df >= 2 then 'SAFE' when n_longs > 1 then 'AMBIGUOUS' when n_articles > 0 then 'STRONG' else 'WEAK' end tier from {_ACR_SEEN}""",
-    "punctuation_candidates": WITH + f"select variant, canonical, variant_df, canonical_df, case when n = 2 and canonical_df >= 2 then 'SAFE' else 'REVIEW' end tier from {_PUNCT} where n > 1 and place > 1",
-    "legal_suffix_candidates": WITH + f"select * from {_LEGAL}",
-    "short_form_candidates": WITH + f"select * from {_SHORT}",
-    "v3_candidates": WITH + f"""select rule, count(*) n_candidates from (select distinct 'acronym' rule, short_entity variant, long_entity candidate from {_ACRONYMS} union select 'punctuation', variant, canonical from {_PUNCT} where n > 1 and place > 1
-  union select 'legal_suffix', variant, canonical from {_LEGAL} union select distinct 'short_form', variant, base from {_SHORT}) group by 1""",
+    "acronym_candidates": RESPELLED + "select *, case when n_longs = 1 and n_articles >= 2 and short_df >= 2 then 'SAFE' when n_longs = 1 and n_articles >= 1 then 'STRONG' when n_longs > 1 then 'AMBIGUOUS' else 'WEAK' end tier from "
+    + _evidence_sql(_ACRONYMS, "short_entity", "long_entity", ("short_df", "long_df")),
+    "punctuation_candidates": RESPELLED + "select * from " + _evidence_sql(_PUNCT, "variant", "canonical", ("variant_df", "canonical_df")),
+    "legal_suffix_candidates": RESPELLED + "select * from " + _evidence_sql(_LEGAL, "variant", "canonical", ("variant_df", "canonical_df")),
+    "short_form_candidates": RESPELLED + "select * from " + _evidence_sql(_SHORT, "variant", "base", ("variant_df", "base_df")),
+    "v3_candidates": RESPELLED + f"select rule, tier, count(*) n_candidates, count(distinct variant) n_variants from {_ALIASES} group by 1, 2",
+    "v3_top_examples": RESPELLED + f"""select rule, variant, candidate, n_articles, place from (select *, row_number() over (partition by rule order by n_articles desc, variant, candidate) place from (
+  select rule, variant, candidate, (select count(*) from v2s x join v2s y using (article_id) where x.entity = 'ORG::' || variant and y.entity = 'ORG::' || candidate) n_articles from {_ALIASES})) where place <= 20""",
 }

@@ -1,23 +1,28 @@
 """Session defaults and scratch tables that outlive the loss of an executor.
 
 Iterative operators cut their lineage by writing a Parquet table to the shared
-folder named by ``spark.checkpoint.dir``.  Only where that setting is absent (a
-local test session) a temporary folder of this machine is used.
+folder named by ``spark.checkpoint.dir``.  Only a session whose executors are
+threads of this process may go without that setting; it gets a temporary folder.
 """
 
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Largest table, in bytes of Parquet, that an operator may broadcast by itself.
 BROADCAST_BYTES = 64 << 20
 #: Largest number of rows that an operator may broadcast by itself.
 BROADCAST_ROWS = 400_000
+#: Bytes that a value takes in a broadcast row: of a fixed width, or of a type that has no bound of its own.
+FIXED_BYTES, LOOSE_BYTES = 16, 256
 
 _local_root: str | None = None
 
@@ -38,11 +43,14 @@ def session(app: str = "newsloom", master: str = "local[8]", **conf: str) -> Spa
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """Folder all executors can reach: ``spark.checkpoint.dir``, or a local one in tests."""
+    """Folder all executors can reach: ``spark.checkpoint.dir``; a folder of this machine only if the executors are threads of this process."""
     global _local_root
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    master = spark.sparkContext.master
+    if not re.fullmatch(r"local(\[.*\])?", master):
+        raise RuntimeError(f"spark.checkpoint.dir must name a folder that all executors of {master} share")
     if _local_root is None:
         _local_root = tempfile.mkdtemp(prefix="newsloom-")
         atexit.register(shutil.rmtree, _local_root, ignore_errors=True)
@@ -54,16 +62,22 @@ class Scratch:
 
     ``keep`` writes a DataFrame and reads it back, so that lineage ends at files
     on shared storage.  ``drop`` removes a table that no later step reads.
-    What remains is removed when the process ends.
+    What remains is removed by ``close`` - at the end of a ``with`` block, once
+    results are written - and at the latest when the process ends.
     """
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
         self.root = f"{shared_folder(spark)}/newsloom-{label}-{uuid.uuid4().hex[:12]}"
         self.n = 0
-        self.paths: dict[int, str] = {}
         atexit.register(self.close)
 
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        self.close()
+
     def keep(self, df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
         path = f"{self.root}/{self.n}"
         self.n += 1
@@ -72,29 +86,26 @@ class Scratch:
             writer = writer.partitionBy(*partition_by)
         writer.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
-        self.paths[id(out)] = path
-        out._scratch = self  # noqa: SLF001 - the table lives as long as something may read it
+        out._scratch_path = path  # noqa: SLF001 - a frame knows its own table; ids of objects are used again
         return out
 
     def drop(self, *frames: DataFrame | None) -> None:
         for df in frames:
-            path = self.paths.pop(id(df), None) if df is not None else None
+            path = getattr(df, "_scratch_path", None)
             if path:
                 self._delete(path)
 
     def bytes_of(self, df: DataFrame) -> int:
         """Size on disk of a kept table."""
-        jvm = self.spark._jvm  # noqa: SLF001
-        path = jvm.org.apache.hadoop.fs.Path(self.paths[id(df)])
-        fs = path.getFileSystem(self.spark._jsc.hadoopConfiguration())  # noqa: SLF001
-        return fs.getContentSummary(path).getLength()
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(df._scratch_path)  # noqa: SLF001
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()).getContentSummary(path).getLength()  # noqa: SLF001
 
     def _delete(self, path: str) -> None:
-        jvm = self.spark._jvm  # noqa: SLF001
-        p = jvm.org.apache.hadoop.fs.Path(path)
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)  # noqa: SLF001
         p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)  # noqa: SLF001
 
     def close(self) -> None:
+        atexit.unregister(self.close)
         try:
             self._delete(self.root)
         except Exception:  # noqa: BLE001 - the session may already be gone
@@ -103,8 +114,12 @@ class Scratch:
                 shutil.rmtree(path, ignore_errors=True)
 
 
-def maybe_broadcast(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast only for a side whose counted size is within the bound."""
-    from pyspark.sql import functions as F
+def row_bytes(df: DataFrame) -> int:
+    """Bytes a row of ``df`` is taken to need in a broadcast."""
+    loose = (T.StringType, T.BinaryType, T.ArrayType, T.MapType, T.StructType)
+    return sum(LOOSE_BYTES if isinstance(f.dataType, loose) else FIXED_BYTES for f in df.schema.fields)
 
-    return F.broadcast(df) if rows <= limit else df
+
+def maybe_broadcast(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """Hint a broadcast only for a side whose counted rows, and the bytes they are taken to need, are within the bounds."""
+    return F.broadcast(df) if rows <= limit and rows * row_bytes(df) <= BROADCAST_BYTES else df

@@ -75,9 +75,73 @@ def test_clusters_and_assignment(spark, seed):
     events = [(e, micros(max(times[i] for i in m)), set().union(*(use[i] for i in m))) for e, m in members.items()]
     order = sorted((micros(t), i, lsets[i] - high) for i, t in late.items())
     folded = V.fold(events, order, idf, math.log(len(times) + 1) + 1, 0.3, 72 * 3600 * 1_000_000)
-    creators = sorted({c for _, _, c in folded if c is not None}, key=lambda i: (late[i], i))
+    creators = sorted({c for _, _, c, _ in folded if c is not None}, key=lambda i: (late[i], i))
     new = {c: len(members) + k for k, c in enumerate(creators)}
-    assert got == {a: e if e is not None else new[c] for a, e, c in folded}
+    assert got == {a: e if e is not None else new[c] for a, e, c, _ in folded}
+
+
+def naive(events, arrivals, idf, unseen, theta, width):
+    """All events are looked at for each arrival: (events by article, pairs within the window, pairs similar enough)."""
+    state = {i: [last, set(s)] for i, last, s in events}
+    w = lambda s: sum(idf.get(x, unseen) for x in sorted(s))
+    out, seen, alike, nxt = {}, 0, 0, max(state, default=-1) + 1
+    for t, a, s in arrivals:
+        best, chosen = -1.0, None
+        for i in sorted(state):
+            last, own = state[i]
+            if not 0 <= t - last <= width:
+                continue
+            seen += 1
+            sim = round(w(s & own) / w(s | own), 9) if s & own else 0.0
+            if sim >= theta:
+                alike += 1
+                if sim > best:
+                    best, chosen = sim, i
+        if chosen is None:
+            chosen, nxt = nxt, nxt + 1
+            state[chosen] = [t, set()]
+        state[chosen] = [t, state[chosen][1] | s]
+        out[a] = chosen
+    return out, seen, alike
+
+
+@pytest.mark.parametrize("seed", [3, 4])
+def test_assignment_of_one_component_with_gaps(spark, seed):
+    """All share entities, so they are one component; its times leave gaps, so it is folded in parts that equal the whole."""
+    rng = random.Random(seed)
+    hours = lambda: rng.choice([0, 300, 420, 1000]) + rng.randrange(60)
+    pick = lambda k: {f"e{rng.randrange(6)}" for _ in range(k)}
+    train = {i: (T0 + dt.timedelta(hours=hours()), pick(2)) for i in range(30)}
+    late = {100 + i: (T0 + dt.timedelta(hours=50 + hours()), pick(rng.randrange(4))) for i in range(40)}
+    scratch = Scratch(spark, "t")
+    c = V.cluster_events(*frames(spark, {i: t for i, (t, _) in train.items()}, {i: s for i, (_, s) in train.items()}), scratch, 0.9, 72, 1.0)
+    la, lp = frames(spark, {i: t for i, (t, _) in late.items()}, {i: s for i, (_, s) in late.items()})
+    got = scratch.keep(V.assign_events(la, lp, c["idf"], c["event_master"], len(train), scratch, 0.4, 72))
+    micros = lambda t: (t - dt.datetime(1970, 1, 1)) // dt.timedelta(microseconds=1)
+    rows = c["event_master"].collect()
+    idf = {r["entity"]: r["idf"] for r in c["idf"].collect()}
+    high = {r["entity"] for r in c["idf"].where("is_high_df").collect()}
+    order = sorted((micros(t), i, s - high) for i, (t, s) in late.items())
+    want, seen, alike = naive([(r["event_id"], micros(r["event_last_added_time"]), set(r["event_entities"])) for r in rows], order, idf, math.log(len(train) + 1) + 1, 0.4, 72 * 3600 * 10**6)
+    assert {r["article_id"]: r["event_id"] for r in got.collect()} == want
+    assert V.pairs_looked_at(c["event_master"], got, scratch, 72).first()[0] == seen and got.agg(F.sum("alike")).first()[0] == alike
+    with_entities = got.join(lp.select("article_id").distinct(), "article_id", "left_semi")
+    assert with_entities.groupBy("component").count().count() > 2
+
+
+def test_pair_counts_and_unequal_clusterings(spark):
+    rng = random.Random(2)
+    schema = "article_id bigint, event_id bigint"
+    l, r = ([(i, rng.randrange(12)) for i in range(60)] for _ in range(2))
+    left, right = spark.createDataFrame(l, schema), spark.createDataFrame(r, schema)
+    pairs = lambda rows: {(a, b) for (a, x), (b, y) in itertools.combinations(rows, 2) if x == y}
+    p, q = pairs(l), pairs(r)
+    assert X.pair_counts(left, right).first().asDict() == {"common_pairs": len(p & q), "removed_pairs": len(p - q), "added_pairs": len(q - p)}
+    assert {(x["article_a"], x["article_b"], x["change"]) for x in X.pair_diff(left, right).collect()} == {(*x, "ADDED") for x in q - p} | {(*x, "REMOVED") for x in p - q}
+    X.require_same_articles(left, right)
+    for a, b in ((left, right.where("article_id < 59")), (left.union(left.limit(1)), right)):
+        with pytest.raises(ValueError):
+            X.require_same_articles(a, b)
 
 
 def test_pairs_in_window(spark):
@@ -129,5 +193,5 @@ def test_comparing_a_clustering_with_itself(spark):
     e = spark.createDataFrame([(1, 0), (2, 0), (3, 1)], "article_id bigint, event_id bigint")
     assert X.pair_diff(e, e).isEmpty() and X.merges_and_splits(e, e).isEmpty()
     other = spark.createDataFrame([(1, 0), (2, 1), (3, 1)], "article_id bigint, event_id bigint")
-    assert {tuple(r) for r in X.pair_diff(e, other).collect()} == {(2, 3, "ADDED"), (1, 2, "REMOVED")}
+    assert {(r["article_a"], r["article_b"], r["change"]) for r in X.pair_diff(e, other).collect()} == {(2, 3, "ADDED"), (1, 2, "REMOVED")}
     assert {(r["kind"], r["event_id"]) for r in X.merges_and_splits(e, other).collect()} == {("MERGE", 1), ("SPLIT", 0)}
