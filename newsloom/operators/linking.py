@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from newsloom.functions.text import word_tokens
 from newsloom.operators.entities import link_acronym
 from newsloom.operators.graph import ancestors
+from newsloom.operators.ranking import grouped_row_number
 from newsloom.runtime import Scratch
 
 #: Weights of the evidence score (same article, same event, context overlap, competing long forms).
@@ -17,9 +18,10 @@ CONTEXT = {"exact_label": 1.0, "search_exact": 0.5, "label_overlap": 1.5, "descr
 DESCRIPTION_RATIO, DESCRIPTION_COUNT, DESCRIPTION_CAP = 0.7, 0.3, 5
 CLEAR_MARGIN, TIE = 0.15, 1e-12
 #: Words left out of context tokens.
-STOP_WORDS = tuple(
-    "og i på af for til med en et den det de der som fra er var har om at ved eller ikke sin sit sine the a an and of in on to with by from is was are were as or that this his her their".split()
-)
+STOP_WORDS = (
+    "og", "i", "på", "af", "for", "til", "med", "en", "et", "den", "det", "de", "der", "som", "fra", "er", "var", "har", "om", "at", "ved", "eller", "ikke", "sin", "sit", "sine",
+    "the", "a", "an", "and", "of", "in", "on", "to", "with", "by", "from", "is", "was", "are", "were", "as", "or", "that", "this", "his", "her", "their",
+)
 #: Classes that each group's candidates must descend from, and how a mismatch counts.
 TYPE_ROOTS = {
     "PER": ("Q5",),
@@ -69,10 +71,10 @@ def evidence(pairs: DataFrame, sets: DataFrame, article_events: DataFrame) -> Da
     return out.select("entity_group", "short", "long", "competing", "n_articles", "n_events", "n_context", F.round(jaccard, 6).alias("jaccard"), F.round(score, 6).alias("score"))
 
 
-def numbered_candidates(e: DataFrame) -> DataFrame:
+def numbered_candidates(e: DataFrame, scratch: Scratch) -> DataFrame:
     """Candidates with an id LINK-<group>-0001 by score within their group."""
-    w = Window.partitionBy("entity_group").orderBy(F.desc("score"), "short", "long")
-    return e.withColumn("candidate_id", F.format_string("LINK-%s-%04d", "entity_group", F.row_number().over(w)))
+    n = grouped_row_number(e, ["entity_group"], [F.desc("score"), "short", "long"], "__n", scratch)
+    return n.withColumn("candidate_id", F.format_string("LINK-%s-%04d", "entity_group", "__n")).drop("__n")
 
 
 def tier(e: DataFrame) -> DataFrame:
@@ -201,11 +203,12 @@ def resolved_links(mentions: DataFrame, decisions: DataFrame, candidates: DataFr
     )
 
 
-def scope_ids(ids: DataFrame, limit: int) -> DataFrame:
-    """Articles to process under a limit: half train, half other, what one half lacks goes to the other; ids as text order them."""
-    w = Window.partitionBy("is_train_used").orderBy(F.col("article_id").cast("string"))
-    placed = ids.withColumn("nth", F.row_number().over(w))
+def scope_ids(ids: DataFrame, limit: int | None, scratch: Scratch) -> DataFrame:
+    """Articles to process: all without a limit; else half train, half other, what one half lacks goes to the other; ids as text order them."""
+    if limit is None:
+        return ids
     n = {r["is_train_used"]: r["n"] for r in ids.groupBy("is_train_used").agg(F.count("*").alias("n")).collect()}
     train = min(n.get(True, 0), max((limit + 1) // 2, limit - n.get(False, 0)))
     other = min(n.get(False, 0), limit - train)
+    placed = grouped_row_number(ids, ["is_train_used"], [F.col("article_id").cast("string")], "nth", scratch)
     return placed.where((F.col("is_train_used") & (F.col("nth") <= train)) | (~F.col("is_train_used") & (F.col("nth") <= other))).drop("nth")

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from newsloom.functions import lists
 from newsloom.functions.text import blank
+from newsloom.operators.ranking import Ordered
+from newsloom.runtime import Scratch
 
 QUANTILES = (0.01, 0.05, 0.25, 0.75, 0.95, 0.99)
 
@@ -60,17 +62,22 @@ def status(fail: Column, warn: Column) -> Column:
     return F.when(fail, "FAIL").when(warn, "WARNING").otherwise("PASS")
 
 
-def article_catalogue(a: DataFrame) -> DataFrame:
-    n = F.count("article_id")
-    return a.agg(
+def catalogue(df: DataFrame, key: str) -> DataFrame:
+    """Rows, columns as the file has them, and what its key is like."""
+    return df.agg(
         F.count("*").alias("row_count"),
-        F.lit(len(a.columns)).cast("bigint").alias("column_count"),
-        F.count_if(F.col("article_id").isNull()).alias("null_ids"),
-        (n - F.count_distinct("article_id")).alias("duplicate_excess"),
-        F.count_distinct("article_id").alias("unique_ids"),
+        F.lit(len(df.columns)).cast("bigint").alias("column_count"),
+        F.count_if(F.col(key).isNull()).alias("null_ids"),
+        (F.count(key) - F.count_distinct(key)).alias("duplicate_excess"),
+        F.count_distinct(key).alias("unique_ids"),
     )
 
 
+def schema_of(df: DataFrame) -> list[tuple[str, str]]:
+    """Columns and types of a table, as text."""
+    return [(f.name, f.dataType.simpleString()) for f in df.schema.fields]
+
+
 def article_validation(a: DataFrame) -> DataFrame:
     """Defects of the article table; id defects fail, others warn."""
     # counting a key's rows before the join-free total keeps the shuffle to one number a key
@@ -155,15 +162,26 @@ def behavior_profile(b: DataFrame) -> DataFrame:
     )
 
 
-def time_disorder(b: DataFrame) -> DataFrame:
-    """Per user, neighbours in delivery order (impression_id stands for it) whose time falls or is equal."""
-    w = Window.partitionBy("user_id").orderBy("impression_id")
-    known = b.where("user_id is not null and impression_id is not null and impression_time is not null").dropDuplicates(["user_id", "impression_id"])
-    step = known.select("user_id", (F.col("impression_time") < F.lag("impression_time").over(w)).alias("falls"), (F.col("impression_time") == F.lag("impression_time").over(w)).alias("same"))
+def time_disorder(b: DataFrame, scratch: Scratch) -> DataFrame:
+    """Per user, neighbours in delivery order (impression_id stands for it) whose time falls or is equal.
+
+    Neighbours are found over ranges of (user, impression), so a user with a third of all rows isn't one task.
+    """
+    known = b.where("user_id is not null and impression_id is not null and impression_time is not null").select("user_id", "impression_id", "impression_time").dropDuplicates(["user_id", "impression_id"])
+    step = Ordered(known, ["user_id"], ["impression_id"], scratch).before(["impression_time"]).rows
+    step = step.select("user_id", (F.col("impression_time") < F.col("prev_impression_time")).alias("falls"), (F.col("impression_time") == F.col("prev_impression_time")).alias("same"))
     per = step.groupBy("user_id").agg(F.count_if("falls").alias("falls"), F.count_if("same").alias("same"))
     return per.agg(F.count("*").alias("users"), F.count_if(F.col("falls") > 0).alias("users_falling"), F.sum("falls").alias("falling_pairs"), F.sum("same").alias("equal_pairs"))
 
 
+def unsorted_users(h: DataFrame, sample: int = 20) -> DataFrame:
+    """Users whose history falls in time somewhere: how many, and the first ones by id."""
+    times = F.array_compact("impression_time_fixed")
+    bad = h.where(F.col("user_id").isNotNull()).where(lists.adjacent(times, lambda x, y: y < x) > 0).select("user_id").distinct()
+    few = bad.orderBy("user_id").limit(sample).agg(lists.text_of(F.sort_array(F.collect_list("user_id"))).alias("examples"))  # the limit is the feature
+    return bad.agg(F.count("*").alias("users_falling")).withColumn("examples", few.scalar())
+
+
 def usable_flags(b: DataFrame, need_inview: bool) -> DataFrame:
     """``b`` with a flag for each reason of exclusion and ``usable``.
 
@@ -193,6 +211,8 @@ def usable_flags(b: DataFrame, need_inview: bool) -> DataFrame:
 def behavior_validation(b: DataFrame, split: str) -> DataFrame:
     flags = usable_flags(b, split == "validation")
     clicks = F.size(lists.stable_unique("article_ids_clicked"))
+    null_in = lambda c: F.coalesce(F.exists(c, lambda x: x.isNull()), F.lit(False))
+    known = lambda c: F.size(F.array_compact(F.coalesce(c, F.array())))
     return flags.agg(
         F.count("*").alias("row_count"),
         *[F.count_if(F.col(c)).alias(f"{c}_rows") for c in ("bad_impression", "bad_user", "bad_time", "bad_click", "bad_inview", "bad_member")],
@@ -200,6 +220,12 @@ def behavior_validation(b: DataFrame, split: str) -> DataFrame:
         F.count_if(~F.col("usable")).alias("excluded_rows"),
         F.count_if(F.col("usable") & (clicks == 1)).alias("usable_single_click_rows"),
         F.count_if(F.col("usable") & (clicks > 1)).alias("usable_multi_click_rows"),
+        F.count_if(F.col("article_id").isNull()).alias("null_current_rows"),
+        *[F.count_if(F.col(f"article_ids_{c}").isNull()).alias(f"null_{c}_rows") for c in ("clicked", "inview")],
+        *[F.count_if(F.size(f"article_ids_{c}") == 0).alias(f"empty_{c}_rows") for c in ("clicked", "inview")],
+        *[F.count_if(null_in(f"article_ids_{c}")).alias(f"null_element_{c}_rows") for c in ("clicked", "inview")],
+        *[F.count_if(F.size(lists.stable_unique(f"article_ids_{c}")) < known(f"article_ids_{c}")).alias(f"repeated_{c}_rows") for c in ("clicked", "inview")],
+        F.count_if(F.col("impression_id").isNull()).alias("null_impression_rows"),
     ).select(F.lit(split).alias("split"), "*")
 
 
@@ -233,6 +259,13 @@ def missing_references(refs: DataFrame, articles: DataFrame, examples: int = 10)
     return ids.join(rows, "kind")
 
 
+def users_without_history(b: DataFrame, h: DataFrame, examples: int = 10) -> DataFrame:
+    """Users of behaviour that no history row names: rows, users and the first ids."""
+    lost = b.where("user_id is not null").groupBy("user_id").agg(F.count("*").alias("n")).join(h.select("user_id").where("user_id is not null").distinct(), "user_id", "left_anti")
+    few = lost.orderBy("user_id").limit(examples).agg(lists.text_of(F.sort_array(F.collect_list("user_id"))).alias("examples"))
+    return lost.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_rows"), F.count("*").alias("n_users")).withColumn("examples", few.scalar())
+
+
 def user_overlap(h: DataFrame, b: DataFrame) -> DataFrame:
     """Users of history and behaviour: five set sizes."""
     u = h.select("user_id").distinct().withColumn("in_h", F.lit(1)).join(b.select("user_id").distinct().withColumn("in_b", F.lit(1)), "user_id", "full_outer").where("user_id is not null")

@@ -34,12 +34,11 @@ def global_row_number(df: DataFrame, order: list[Column | str], name: str, scrat
 def grouped_row_number(df: DataFrame, groups: list[str], order: list[Column | str], name: str, scratch: Scratch) -> DataFrame:
     """``df`` with numbers from 1 in the given total order within each group, groups of any size."""
     numbered = scratch.keep(global_row_number(df, [*groups, *order], "__at", scratch))
-    first = numbered.groupBy(*groups).agg(F.min("__at").alias("__first"))
-    same = [numbered[g].eqNullSafe(first[g]) for g in groups]
-    cond = same[0]
-    for c in same[1:]:
-        cond = cond & c
-    return numbered.join(first, cond).select(*[numbered[c] for c in df.columns], (F.col("__at") - F.col("__first") + 1).alias(name))
+    first = numbered.groupBy(*[F.col(g).alias(f"__g{i}") for i, g in enumerate(groups)]).agg(F.min("__at").alias("__first"))
+    same = F.lit(True)
+    for i, g in enumerate(groups):
+        same = same & F.col(g).eqNullSafe(F.col(f"__g{i}"))
+    return numbered.join(first, same).select(*df.columns, (F.col("__at") - F.col("__first") + 1).alias(name))
 
 
 class Ordered:

@@ -1,9 +1,10 @@
 """Queries that link entities: short forms, a knowledge base drawn from the corpus, context scores, decisions.
 
-No outside knowledge base is at hand.  The candidates of an entity are the
-entities of its group that share its key word (a person's last word, else the
-first); a candidate's description is the least title it stands in, and its class
-is drawn from its length over a small class graph with a cycle.
+No outside knowledge base is at hand.  The candidates of an entity are the first
+ten entities of its group that share its key word (a person's last word, else the
+first), as a search gives so many hits; a candidate's description is the least
+title it stands in, and its class is drawn from its length over a small class
+graph with a cycle.
 """
 
 from __future__ import annotations
@@ -12,9 +13,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from newsloom.operators import linking as L
-from newsloom.operators.entities import entity_sets
+from newsloom.functions.text import casefold_nfkc
+from newsloom.operators.entities import LINK_STOP_WORDS, entity_sets
 from newsloom.operators.graph import ancestors
 from newsloom.operators.sampling import diverse_sample
+from newsloom.plans.base import _nfkc_sql
 from newsloom.plans.catalog_queries import valid
 from newsloom.plans.entity_queries import _TOK, _q, _entities
 from newsloom.plans.entity_queries import WITH as ENTITIES
@@ -22,6 +25,8 @@ from newsloom.runtime import Scratch
 from newsloom.sources import load
 
 CLASS_EDGES = [("K0", "Q5"), ("K1", "K0"), ("K2", "K1"), ("K3", "Q43229"), ("K4", "K3"), ("K5", "Q486972"), ("K6", "K6")]
+#: Hits that a search gives at most.
+HITS = 10
 METRICS = ["competing", "n_articles", "n_events", "n_context", "jaccard", "score"]
 
 
@@ -60,7 +65,7 @@ def _evidence(spark: SparkSession, d: str) -> DataFrame:
 
 
 def link_evidence(spark: SparkSession, d: str) -> DataFrame:
-    return L.numbered_candidates(_evidence(spark, d))
+    return L.numbered_candidates(_evidence(spark, d), Scratch(spark, "links"))
 
 
 def evidence_tiers(spark: SparkSession, d: str) -> DataFrame:
@@ -81,8 +86,9 @@ def _candidates(spark: SparkSession, d: str, scratch: Scratch) -> tuple[DataFram
     words = F.split("canonical_entity", " ")
     v = scratch.keep(v.withColumn("word", F.when(F.col("entity_group") == "PER", F.element_at(words, -1)).otherwise(F.element_at(words, 1))))
     other = v.select("entity_group", "word", F.col("canonical_entity").alias("label"), F.concat(F.lit("Q:"), "canonical_entity_key").alias("qid"), "description", F.col("df").alias("c_df"))
-    w = Window.partitionBy("canonical_entity_key").orderBy(F.desc("c_df"), "label")
-    c = v.select("entity_group", "word", "canonical_entity", "canonical_entity_key").join(other, ["entity_group", "word"]).withColumn("candidate_rank", F.row_number().over(w).cast("bigint"))
+    w = Window.partitionBy("entity_group", "word").orderBy(F.desc("c_df"), "label")
+    hits = other.withColumn("candidate_rank", F.row_number().over(w).cast("bigint")).where(F.col("candidate_rank") <= HITS)
+    c = v.select("entity_group", "word", "canonical_entity", "canonical_entity_key").join(hits, ["entity_group", "word"])
     return t, scratch.keep(c.select("entity_group", "canonical_entity", "canonical_entity_key", "qid", "label", "description", "candidate_rank"))
 
 
@@ -109,9 +115,9 @@ def type_filter_status(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _article_tokens(articles: DataFrame) -> DataFrame:
-    """Words of title, subtitle and body, whole.  The SQL twin reads the first 3 000 characters only, so the two differ on longer texts."""
+    """Words of title, subtitle and body, whole, in compatibility form and folded case.  The SQL twin reads the first 3 000 characters only, so the two differ on longer texts."""
     text = F.concat_ws(" ", *[F.coalesce(c, F.lit("")) for c in ("title", "subtitle", "body")])
-    return articles.select("article_id", L.context_tokens(F.lower(text)).alias("article_tokens"))
+    return articles.select("article_id", L.context_tokens(casefold_nfkc(text)).alias("article_tokens"))
 
 
 def _scores(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -119,7 +125,9 @@ def _scores(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFram
     t, c = _candidates(spark, d, scratch)
     texts = _article_tokens(valid(spark, d))
     cases = t.select("article_id", "canonical_entity_key").distinct().join(c, "canonical_entity_key").join(texts, "article_id")
-    cases = cases.withColumns({"surface": F.col("canonical_entity"), "match_text": F.col("label"), "label_tokens": L.context_tokens(F.col("label")), "description_tokens": L.context_tokens(F.lower("description"))})
+    # a candidate's texts are folded once, not once a case
+    folded = c.select("qid", "label", "description").distinct().select("qid", casefold_nfkc("label").alias("folded_label"), casefold_nfkc("description").alias("folded_description"))
+    cases = cases.join(folded, "qid").withColumns({"surface": F.col("canonical_entity"), "label": F.col("folded_label"), "match_text": F.col("folded_label"), "label_tokens": L.context_tokens(F.col("folded_label")), "description_tokens": L.context_tokens(F.col("folded_description"))})
     return scratch.keep(L.context_scores(cases).select("article_id", "canonical_entity_key", "entity_group", "qid", "candidate_rank", "context_score")), t, c
 
 
@@ -165,13 +173,13 @@ def link_backjoin(spark: SparkSession, d: str) -> DataFrame:
 def scope_articles(spark: SparkSession, d: str) -> DataFrame:
     """At most 200 articles to process, half of them train ones; the limit is the feature."""
     e = _entities(spark, d).groupBy("article_id").agg(F.bool_or("is_train_used").alias("is_train_used"))
-    return L.scope_ids(e, 200)
+    return L.scope_ids(e, 200, Scratch(spark, "scope"))
 
 
 def review_sample(spark: SparkSession, d: str) -> DataFrame:
     """For review: 30 cases of each status spread over the scores, at most 2 of an entity; the limit is the feature."""
     st = L.context_status(_scores(spark, d)[0], ["article_id", "canonical_entity_key"])
-    s = diverse_sample(st, "status", "canonical_entity_key", [F.desc("top_score"), "article_id", "canonical_entity_key"], 30, 2)
+    s = diverse_sample(st, "status", "canonical_entity_key", [F.desc("top_score"), "article_id", "canonical_entity_key"], 30, 2, Scratch(spark, "sample"))
     return s.select("status", "sample_rank", "article_id", "canonical_entity_key", "top_qid", "top_score")
 
 
@@ -182,9 +190,10 @@ _names = (
 QUERIES = {n: globals()[n] for n in _names}
 
 _STOP = ", ".join(_q(x) for x in L.STOP_WORDS)
+_FOLD = lambda x: f"replace(replace(lower({_nfkc_sql(x)}), 'ß', 'ss'), 'ς', 'σ')"
 _CTX = lambda x: f"list_distinct(list_filter({_TOK(x)}, lambda y: length(y) >= 2 and y not in ({_STOP})))"
-_ASTOP = ", ".join(_q(x) for x in ("a", "af", "and", "for", "i", "of", "og", "the", "til"))
-_SIG = lambda x: f"list_filter({_TOK(x)}, lambda y: y not in ({_ASTOP}))"
+_ASTOP = ", ".join(_q(x) for x in LINK_STOP_WORDS)
+_WORDS = f"list_filter(list_transform(regexp_split_to_array(canonical_entity, '\\s+'), lambda y: lower(regexp_replace(y, '[^\\p{{L}}\\p{{N}}]', '', 'g'))), lambda y: y <> '' and y not in ({_ASTOP}))"
 _EDGES = ", ".join(f"('{a}', '{b}')" for a, b in CLASS_EDGES)
 _ROOTS = ", ".join(f"('{g}', '{r}')" for g, rs in L.TYPE_ROOTS.items() for r in rs)
 _GROUPS = ", ".join(f"'{g}'" for g in L.TYPE_ROOTS)
@@ -193,7 +202,7 @@ WITH = ENTITIES + f""",
 te as materialized (select * from ae where is_train_used),
 uni as materialized (select entity_group, canonical_entity, canonical_entity_key, count(distinct article_id) article_df, count(*) mention_count from te group by 1, 2, 3),
 sl as materialized (select * from (select entity_group, string_split(canonical_entity, ' ')[-1] short, canonical_entity long from uni where entity_group = 'PER' and contains(canonical_entity, ' ')
-  union all select entity_group, array_to_string(list_transform({_SIG('canonical_entity')}, lambda x: case when length(x) <= 3 then x else left(x, 1) end), '') short, canonical_entity from uni where entity_group = 'ORG' and len({_SIG('canonical_entity')}) >= 2) c
+  union all select entity_group, array_to_string(list_transform({_WORDS}, lambda x: case when length(x) <= 3 and (regexp_full_match(x, '\\p{{L}}+') or regexp_full_match(x, '\\p{{N}}+')) then x else left(x, 1) end), '') short, canonical_entity from uni where entity_group = 'ORG' and len({_WORDS}) >= 2) c
   where exists (select 1 from uni u where u.entity_group = c.entity_group and u.canonical_entity = c.short) and (entity_group = 'PER' or (length(short) >= 2 and short <> long))),
 ts as materialized (select distinct article_id, canonical_entity_key entity from te),
 aev as materialized (select distinct entity, event_id from ts join (select distinct article_id, event_id from article_events where article_id is not null and event_id is not null and event_id <> -1) using (article_id)),
@@ -207,17 +216,17 @@ ev1 as (select *, case when ns + nl - n_context > 0 then n_context / (ns + nl -
 ev as materialized (select entity_group, short, long, competing, n_articles, n_events, n_context, round(j, 6) jaccard, round(3.0 * n_articles + 1.5 * n_events + 5.0 * j - 2.0 * greatest(competing - 1, 0), 6) score from ev1),
 kv as materialized (select u.*, case when entity_group = 'PER' then string_split(canonical_entity, ' ')[-1] else string_split(canonical_entity, ' ')[1] end word, ds.description
   from uni u join (select canonical_entity_key, min(title) description from te join va using (article_id) group by 1) ds using (canonical_entity_key)),
-kc as materialized (select a.entity_group, a.canonical_entity, a.canonical_entity_key, 'Q:' || b.canonical_entity_key qid, b.canonical_entity \"label\", b.description, row_number() over (partition by a.canonical_entity_key order by b.article_df desc, b.canonical_entity) candidate_rank
-  from kv a join kv b on a.entity_group = b.entity_group and a.word = b.word),
+kc as materialized (select a.entity_group, a.canonical_entity, a.canonical_entity_key, 'Q:' || b.canonical_entity_key qid, b.canonical_entity \"label\", b.description, candidate_rank
+  from kv a join (select *, row_number() over (partition by entity_group, word order by article_df desc, canonical_entity) candidate_rank from kv) b on a.entity_group = b.entity_group and a.word = b.word and candidate_rank <= {HITS}),
 clo(node, ancestor, depth) as (select distinct child, child, 0 from (values {_EDGES}) e(child, parent) union select c.node, e.parent, c.depth + 1 from clo c join (values {_EDGES}) e(child, parent) on e.child = c.ancestor where c.depth < 8),
 cl as (select node, ancestor, min(depth) depth from clo group by 1, 2),
 ty as (select distinct qid, 'K' || (length(\"label\") % 7) class from kc where length(\"label\") % 11 <> 0),
 tf as (select kc.entity_group, canonical_entity_key, kc.qid, case when kc.entity_group not in ({_GROUPS}) then 'UNCHECKED' when ty.qid is null then 'UNKNOWN'
   when exists (select 1 from cl join (values {_ROOTS}) r(g, root) on r.root = cl.ancestor where cl.node = ty.class and r.g = kc.entity_group) then 'MATCH' else 'MISMATCH' end type_status from kc left join ty using (qid)),
-atk as materialized (select article_id, {_CTX("lower(left(coalesce(title, '') || ' ' || coalesce(subtitle, '') || ' ' || coalesce(body, ''), 3000))")} tok from va),
-kt as materialized (select *, {_CTX('"label"')} lt, {_CTX('lower(description)')} dt from kc),
+atk as materialized (select article_id, {_CTX(_FOLD("left(coalesce(title, '') || ' ' || coalesce(subtitle, '') || ' ' || coalesce(body, ''), 3000)"))} tok from va),
+kt as materialized (select *, {_FOLD('"label"')} fl, {_CTX(_FOLD('"label"'))} lt, {_CTX(_FOLD('description'))} dt from kc),
 sc as materialized (select x.article_id, kt.canonical_entity_key, entity_group, qid, candidate_rank,
-  round((1.0 * (canonical_entity = \"label\")::int + 0.5 * (\"label\" <> '' and \"label\" = canonical_entity)::int + 1.5 * {_INTER('lt', 'tok')} / greatest(len(lt), 1)
+  round((1.0 * (canonical_entity = fl)::int + 0.5 * (fl <> '' and fl = canonical_entity)::int + 1.5 * {_INTER('lt', 'tok')} / greatest(len(lt), 1)
     + 1.0 * (0.7 * {_INTER('dt', 'tok')} / greatest(len(dt), 1) + 0.3 * least({_INTER('dt', 'tok')}, 5) / 5)) / 4.0, 9) context_score
   from ts x join kt on kt.canonical_entity_key = x.entity join atk on atk.article_id = x.article_id),
 rk as (select *, row_number() over w place, lead(context_score) over w runner_up, count(*) over (partition by article_id, canonical_entity_key) n,

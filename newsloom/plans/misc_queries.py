@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newsloom.operators import export as X
 from newsloom.operators import vectors as V
+from newsloom.operators.ranking import Ordered
 from newsloom.plans.base import articles, behaviors, history
+from newsloom.runtime import Scratch
 from newsloom.sources import load
 
 
 def embedding_norm_check(spark: SparkSession, d: str) -> DataFrame:
-    """The stored vectors, made unit vectors, against what an embedding table must hold."""
-    e = load(spark, d, "embeddings").select("vec_id", V.normalised(F.col("embedding")).alias("embedding"))
-    return V.vector_defects(e, "vec_id", "embedding", 64)
+    """The vectors as stored, and made unit vectors, against what an embedding table must hold."""
+    e = load(spark, d, "embeddings").select("vec_id", "embedding")
+    unit = e.select("vec_id", V.normalised(F.col("embedding")).alias("embedding"))
+    return V.vector_defects(e, "vec_id", "embedding", 64).select(F.lit("stored").alias("vectors"), "*").unionByName(V.vector_defects(unit, "vec_id", "embedding", 64).select(F.lit("unit").alias("vectors"), "*"))
 
 
 def embedding_centroids(spark: SparkSession, d: str) -> DataFrame:
@@ -73,20 +76,20 @@ def schema_merge_union(spark: SparkSession, d: str) -> DataFrame:
 
 def user_sessions(spark: SparkSession, d: str) -> DataFrame:
     """Sessions of the event stream: a pause of more than 30 minutes starts the next one."""
-    e = load(spark, d, "events").where("user_id is not null and ts is not null")
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    flagged = e.withColumn("head", F.coalesce((F.col("ts") - F.lag("ts").over(w) > F.expr("interval 30 minutes")).cast("bigint"), F.lit(1)))
-    s = flagged.withColumn("session", F.sum("head").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return s.groupBy("user_id", "session").agg(F.count("*").alias("n_events"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
+    e = load(spark, d, "events").where("user_id is not null and ts is not null").select("user_id", "ts", "event_id")
+    o = Ordered(e, ["user_id"], ["ts", "event_id"], Scratch(spark, "sessions")).before(["ts"])
+    o.rows = o.rows.withColumn("head", F.coalesce((F.col("ts") - F.col("prev_ts") > F.expr("interval 30 minutes")).cast("bigint"), F.lit(1)))
+    return o.running("head", "session").rows.groupBy("user_id", "session").agg(F.count("*").alias("n_events"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
 
 
 _names = "embedding_norm_check embedding_centroids embedding_nearest_label export_fk_check unique_key_check json_props schema_merge_union user_sessions".split()
 QUERIES = {n: globals()[n] for n in _names}
 _FK = lambda name, child, key, parent, pk: f"select '{name}' reference, count(*) n_rows, count(distinct {key}) n_keys from {child} where {key} is not null and {key} not in (select {pk} from {parent} where {pk} is not null)"
 SQL = {
-    "embedding_norm_check": """with n as (select vec_id, embedding, greatest(sqrt(list_sum(list_transform(embedding, lambda x: cast(x as double) * cast(x as double)))), 1e-12) len2 from embeddings)
-select count(*) n_rows, count(*) filter (embedding is null) null_vectors, count(*) filter (len(embedding) <> 64) wrong_width, cast(0 as bigint) not_finite,
-  count(*) filter (abs(sqrt(list_sum(list_transform(embedding, lambda x: (cast(x as double) / len2) * (cast(x as double) / len2)))) - 1) > 1e-4) not_unit, count(*) - count(distinct vec_id) repeated_keys, coalesce(max(vec_id) + 1 - count(*), 0) row_gaps from n""",
+    "embedding_norm_check": """with e as (select vec_id, list_transform(embedding, lambda x: cast(x as double)) v from embeddings),
+n as (select 'stored' vectors, vec_id, v from e union all select 'unit', vec_id, list_transform(v, lambda x: x / greatest(sqrt(list_sum(list_transform(v, lambda y: y * y))), 1e-12)) from e)
+select vectors, count(*) n_rows, count(*) filter (v is null) null_vectors, count(*) filter (len(v) <> 64) wrong_width, count(*) filter (len(list_filter(v, lambda x: x is null or not isfinite(x))) > 0) not_finite,
+  count(*) filter (abs(sqrt(list_sum(list_transform(v, lambda x: x * x))) - 1) > 1e-4) not_unit, count(*) - count(distinct vec_id) repeated_keys, coalesce(max(vec_id) + 1 - count(*), 0) row_gaps from n group by 1""",
     "embedding_centroids": "select \"label\", dim, round(avg(x), 5) \"value\" from (select \"label\", cast(unnest(embedding) as double) x, unnest(range(len(embedding))) dim from embeddings) group by 1, 2",
     "embedding_nearest_label": """with c as (select "label" cl, list(m order by i) centre from (select "label", i, avg(x) m from (select "label", cast(unnest(embedding) as double) x, unnest(range(len(embedding))) i from embeddings) group by 1, 2) group by 1),
 s as (select e.vec_id, e."label", cl, round(list_sum(list_transform(list_zip(centre, embedding), lambda p: p[1] * cast(p[2] as double))) / sqrt(list_sum(list_transform(centre, lambda x: x * x))), 9) cos from embeddings e, c),

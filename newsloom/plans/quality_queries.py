@@ -7,22 +7,34 @@ from pyspark.sql import functions as F
 
 from newsloom.operators import quality as Q
 from newsloom.plans.base import articles, behaviors, blank_sql, history, split_sql
+from newsloom.runtime import Scratch
 
 REQUIRED = {
     "articles": ["article_id", "title", "subtitle", "ner_clusters", "entity_groups", "published_time", "category", "category_str"],
     "behaviors": ["impression_id", "user_id", "impression_time", "article_id", "article_ids_clicked", "article_ids_inview"],
     "history": ["user_id", "impression_time_fixed", "article_id_fixed", "scroll_percentage_fixed", "read_time_fixed"],
 }
-ARTICLE_COLUMNS = (
-    "article_id title subtitle body article_type url category_str sentiment_label last_modified_time published_time premium image_ids "
-    "ner_clusters entity_groups topics category subcategory total_inviews total_pageviews total_read_time sentiment_score"
-).split()
 LISTS = [("articles", "ner_clusters"), ("articles", "image_ids"), ("behaviors", "article_ids_inview"), ("behaviors", "article_ids_clicked"), ("history", "article_id_fixed"), ("history", "impression_time_fixed")]
 QUALITY_TABLES = {"articles": articles, "behaviors": behaviors, "history": history}
+KEYS = {"articles": "article_id", "behaviors": "impression_id", "history": "user_id"}
+
+
+def _per_table(make) -> DataFrame:
+    out = None
+    for t in QUALITY_TABLES:
+        one = make(t).select(F.lit(t).alias("table_name"), "*")
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 def schema_null_profile(spark: SparkSession, d: str) -> DataFrame:
-    return Q.null_profile(articles(spark, d).select(*ARTICLE_COLUMNS))
+    """Null count and ratio of every column that the files have."""
+    return _per_table(lambda t: Q.null_profile(QUALITY_TABLES[t](spark, d)))
+
+
+def table_schemas(spark: SparkSession, d: str) -> DataFrame:
+    """Columns of the files, with their type and place."""
+    return _per_table(lambda t: spark.createDataFrame([(n, i, k) for i, (n, k) in enumerate(Q.schema_of(QUALITY_TABLES[t](spark, d)), 1)], "column_name string, place int, type_name string"))
 
 
 def file_validation(spark: SparkSession, d: str) -> DataFrame:
@@ -50,7 +62,8 @@ def list_length_summary(spark: SparkSession, d: str) -> DataFrame:
 
 
 def article_catalogue(spark: SparkSession, d: str) -> DataFrame:
-    return Q.article_catalogue(articles(spark, d).select(*ARTICLE_COLUMNS))
+    """Rows, columns and keys of the three tables."""
+    return _per_table(lambda t: Q.catalogue(QUALITY_TABLES[t](spark, d), KEYS[t]))
 
 
 def article_validation(spark: SparkSession, d: str) -> DataFrame:
@@ -74,7 +87,25 @@ def behavior_profile(spark: SparkSession, d: str) -> DataFrame:
 
 
 def adjacent_time_disorder(spark: SparkSession, d: str) -> DataFrame:
-    return Q.time_disorder(behaviors(spark, d))
+    return Q.time_disorder(behaviors(spark, d), Scratch(spark, "disorder"))
+
+
+def unsorted_history_users(spark: SparkSession, d: str) -> DataFrame:
+    return Q.unsorted_users(history(spark, d))
+
+
+def inview_length_summary(spark: SparkSession, d: str) -> DataFrame:
+    """How many impressions show each number of articles."""
+    return behaviors(spark, d).groupBy(F.coalesce(F.size("article_ids_inview"), F.lit(0)).cast("bigint").alias("n")).agg(F.count("*").alias("n_rows"))
+
+
+def users_without_history(spark: SparkSession, d: str) -> DataFrame:
+    """Users of each split without a history row."""
+    out = None
+    for s in ("train", "validation"):
+        one = Q.users_without_history(behaviors(spark, d, s), history(spark, d)).select(F.lit(s).alias("split"), "*")
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 def behavior_validation(spark: SparkSession, d: str) -> DataFrame:
@@ -124,8 +155,8 @@ def overall_status(spark: SparkSession, d: str) -> DataFrame:
 
 
 _names = (
-    "schema_null_profile file_validation list_length_summary article_catalogue article_validation history_validation history_profile click_length_distribution "
-    "behavior_profile adjacent_time_disorder behavior_validation cross_reference_report missing_id_audit user_overlap current_article_overlap overall_status"
+    "schema_null_profile table_schemas file_validation list_length_summary article_catalogue article_validation history_validation history_profile click_length_distribution "
+    "behavior_profile adjacent_time_disorder unsorted_history_users inview_length_summary users_without_history behavior_validation cross_reference_report missing_id_audit user_overlap current_article_overlap overall_status"
 ).split()
 QUERIES = {n: globals()[n] for n in _names}
 
@@ -171,8 +202,9 @@ def usable_sql(split: str) -> str:
 _BEHAVIOR_VALIDATION = " union all ".join(
     f"""select '{s}' split, count(*) row_count, {", ".join(f"count(*) filter (bad_{x}) bad_{x}_rows" for x in ("impression", "user", "time", "click", "inview", "member"))},
   count(*) filter (usable) usable_rows, count(*) filter (not usable) excluded_rows,
-  count(*) filter (usable and len({_uniq("article_ids_clicked")}) = 1) usable_single_click_rows, count(*) filter (usable and len({_uniq("article_ids_clicked")}) > 1) usable_multi_click_rows
-  from {usable_sql(s)}"""
+  count(*) filter (usable and len({_uniq("article_ids_clicked")}) = 1) usable_single_click_rows, count(*) filter (usable and len({_uniq("article_ids_clicked")}) > 1) usable_multi_click_rows,
+  count(*) filter (article_id is null) null_current_rows, {", ".join(f"count(*) filter (article_ids_{c} is null) null_{c}_rows, count(*) filter (len(article_ids_{c}) = 0) empty_{c}_rows, count(*) filter (len(list_filter(article_ids_{c}, lambda x: x is null)) > 0) null_element_{c}_rows, count(*) filter (len({_uniq(f'article_ids_{c}')}) < len(list_filter(article_ids_{c}, lambda x: x is not null))) repeated_{c}_rows" for c in ("clicked", "inview"))},
+  count(*) filter (impression_id is null) null_impression_rows from {usable_sql(s)}"""
     for s in ("train", "validation")
 )
 
@@ -193,13 +225,26 @@ def _overlap_sql(split: str | None) -> str:
 _quant = ", ".join(f"round(quantile_cont(n, {q}), 6) p{int(q * 100):02d}" for q in Q.QUANTILES)
 SQL = {
     "schema_null_profile": " union all ".join(
-        f"select '{c}' column_name, count(*) filter ({c} is null) null_count, case when count(*) = 0 then 0.0 else round(count(*) filter ({c} is null) / count(*), 6) end null_ratio from articles" for c in ARTICLE_COLUMNS
+        f"""select '{t}' table_name, column_name, cast(n - filled as bigint) null_count, case when n = 0 then 0.0 else round((n - filled) / n, 6) end null_ratio
+  from (unpivot (select count(columns(*)) from {t}) on columns(*) into name column_name value filled), (select count(*) n from {t})""" for t in KEYS
+    ),
+    "table_schemas": " union all ".join(
+        f"""select '{t}' table_name, column_name, cast(row_number() over () as int) place, replace(replace(replace(replace(replace(replace(replace(replace(
+  case when column_type like '%[]' then 'array<' || left(column_type, length(column_type) - 2) || '>' else column_type end, 'INTEGER', 'int'), 'VARCHAR', 'string'), 'TIMESTAMP', 'timestamp_ntz'), 'BIGINT', 'bigint'), 'SMALLINT', 'smallint'), 'TINYINT', 'tinyint'), 'FLOAT', 'float'), 'BOOLEAN', 'boolean') type_name from (describe {t})""" for t in KEYS
     ),
     "file_validation": " union all ".join(f"select '{t}' table_name, count(*) row_count, '' missing_columns, 'PASS' status from {t}" for t in REQUIRED),
     "list_length_summary": " union all ".join(
         f"select '{t}' table_name, '{c}' column_name, cast(min(n) as double) min, round(avg(n), 6) mean, round(median(n), 6) median, cast(max(n) as double) max, {_quant} from (select len({c}) n from {t})" for t, c in LISTS
     ),
-    "article_catalogue": f"select count(*) row_count, cast({len(ARTICLE_COLUMNS)} as bigint) column_count, count(*) filter (article_id is null) null_ids, count(article_id) - count(distinct article_id) duplicate_excess, count(distinct article_id) unique_ids from articles",
+    "article_catalogue": " union all ".join(
+        f"select '{t}' table_name, count(*) row_count, (select count(*) from (describe {t})) column_count, count(*) filter ({k} is null) null_ids, count({k}) - count(distinct {k}) duplicate_excess, count(distinct {k}) unique_ids from {t}" for t, k in KEYS.items()
+    ),
+    "unsorted_history_users": f"""with u as (select distinct user_id from history where user_id is not null and {_falls("list_filter(impression_time_fixed, lambda x: x is not null)", '<')} > 0)
+select count(*) users_falling, array_to_string(list_sort(list(user_id))[1:20], ',') examples from u""",
+    "inview_length_summary": "select coalesce(len(article_ids_inview), 0) n, count(*) n_rows from behaviors group by 1",
+    "users_without_history": " union all ".join(
+        f"select '{s}' split, count(*) n_rows, count(distinct user_id) n_users, array_to_string(list_sort(list_distinct(list(user_id)))[1:10], ',') examples from {split_sql(s)} where user_id is not null and user_id not in (select user_id from history where user_id is not null)" for s in ("train", "validation")
+    ),
     "article_validation": _ARTICLE_VALIDATION,
     "history_validation": _HISTORY_VALIDATION,
     "history_profile": f"""

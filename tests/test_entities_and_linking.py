@@ -11,6 +11,7 @@ from newsloom.operators import entities as E
 from newsloom.operators import export, linking, vectors
 from newsloom.operators.sampling import diverse_sample
 from newsloom.plans import linking_queries
+from newsloom.runtime import Scratch
 from newsloom.sources import records
 from newsloom.streaming.twins import session_counts
 
@@ -68,6 +69,46 @@ def test_acronyms_and_suffixes(spark):
     assert ("manchester united fc", "manchester united") in {(r["variant"], r["base"]) for r in E.short_form_candidates(df).collect()}
 
 
+@pytest.mark.parametrize(("name", "signatures", "short"), [
+    ("den danske bank", ["db"], "dendb"), ("dansk el forbund", ["def"], "delf"), ("fc københavn", ["fk", "fck"], "fck"), ("european union", ["eu"], "eu"), ("bank", [], None), ("og i", [], None),
+    ("a.p. møller", ["pm"], "apm"), ("tv2 danmark", ["td"], "td"), ("112 alarm", ["1a"], "112a"), ("a b c d e f g h k l m", [], "bcdefghklm"),
+])
+def test_acronyms_of_a_name(spark, name, signatures, short):
+    r = spark.createDataFrame([(name,)], "n string").select(E.acronym_signatures(F.col("n")).alias("s"), E.link_acronym(F.col("n")).alias("l")).first()
+    assert (r["s"], r["l"]) == (signatures, short)
+
+
+def test_punctuation_is_a_matter_of_words(spark):
+    df = spark.createDataFrame([("ORG", x, n) for x, n in (("ab c", 5), ("abc", 4), ("a.b.c", 1), ("a b c", 4), ("f.c. nord", 2), ("fc nord", 2), ("fc-nord", 1), ("1 2", 1), ("12", 1))] + [("PER", "f c nord", 9)], DF)
+    got = {(r["variant"], r["canonical"], r["group_size"], r["tier"]) for r in E.punctuation_candidates(df).collect()}
+    assert got == {
+        ("a.b.c", "a b c", 3, "REVIEW"), ("a.b.c", "abc", 3, "REVIEW"), ("abc", "a b c", 3, "REVIEW"), ("fc-nord", "f.c. nord", 3, "REVIEW"), ("fc-nord", "fc nord", 3, "REVIEW"), ("fc nord", "f.c. nord", 3, "REVIEW"),
+    }
+    two = spark.createDataFrame([("ORG", "a.b", 1), ("ORG", "ab", 3), ("ORG", "x-y z", 1), ("ORG", "x.y z", 1)], DF)
+    assert {(r["variant"], r["canonical"], r["tier"]) for r in E.punctuation_candidates(two).collect()} == {("a.b", "ab", "SAFE"), ("x.y z", "x-y z", "REVIEW")}
+
+
+def test_rules_map_changed_surfaces_to_the_rewritten_text(spark):
+    rows = [(1, "LOC", "a–b"), (2, "LOC", "a–b"), (2, "LOC", "a-b"), (3, "LOC", "a—b"), (3, "LOC", "a—b"), (4, "LOC", "c–d"), (5, "LOC", "z")]
+    e = spark.createDataFrame([(*r, True) for r in rows] + [(9, "LOC", "a−b", False)], "article_id bigint, entity_group string, canonical_entity string, is_train_used boolean")
+    stats = E.surface_statistics(e)
+    assert {(r["entity"], r["df"], r["mentions"]) for r in stats.collect()} == {("a–b", 2, 2), ("a-b", 1, 1), ("a—b", 1, 2), ("c–d", 1, 1), ("z", 1, 1)}
+    sets = e.where("is_train_used").selectExpr("article_id", "entity_group", "canonical_entity entity").distinct()
+    b = E.rule_buckets(stats)
+    got = E.rule_collisions(b, sets).where("rule = 'dash'").first()
+    assert (got["canonical"], got["observed"], got["surfaces"], got["surface_dfs"], got["surface_mentions"], got["union_df"]) == ("a-b", True, "a–b|a—b|a-b", "2|1|1", "2|2|1", 3)
+    maps = {(r["variant"], r["canonical"], r["variant_df"], r["canonical_df"], r["observed"], r["cooccurrence"]) for r in E.rule_mappings(b, sets).where("rule = 'dash'").collect()}
+    assert maps == {("a–b", "a-b", 2, 1, True, 1), ("a—b", "a-b", 1, 1, True, 0)}
+    unseen = E.rule_mappings(E.rule_buckets(stats.where("entity <> 'a-b'")), sets.where("entity <> 'a-b'")).where("rule = 'dash'")
+    assert {(r["canonical_df"], r["observed"], r["cooccurrence"]) for r in unseen.collect()} == {(0, False, 0)}
+    assert E.rule_summary(b, sets).where("rule = 'dash'").first()["affected_articles"] == 3
+
+
+def test_context_tokens_fold_case(spark):
+    df = spark.createDataFrame([(1, "STRASSE Straße ﬁlm Ａrla ΟΔΟΣ", None, "x_y og")], "article_id int, title string, subtitle string, body string")
+    assert set(linking_queries._article_tokens(df).first()["article_tokens"]) == {"strasse", "film", "arla", "οδοσ"}
+
+
 def test_decisions(spark):
     m = spark.createDataFrame([(1, "k"), (1, "k"), (2, "k"), (3, "l"), (4, "k")], "article_id bigint, canonical_entity_key string")
     c = spark.createDataFrame([("k", "Q1"), ("k", "Q2")], "canonical_entity_key string, qid string")
@@ -92,7 +133,7 @@ def spread(n, k):
 @pytest.mark.parametrize("k", [1, 2, 5])
 def test_diverse_sample(spark, k):
     rows = [("s", f"e{i % 7}", i) for i in range(97)]
-    got = diverse_sample(spark.createDataFrame(rows, "s string, e string, i int"), "s", "e", ["i"], k, 1)
+    got = diverse_sample(spark.createDataFrame(rows, "s string, e string, i int"), "s", "e", ["i"], k, 1, Scratch(spark, "t"))
     first = spread(97, min(97, 8 * k))
     want, seen = [], set()
     for i in [*first, *[x for x in range(97) if x not in first]]:
