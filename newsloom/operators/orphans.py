@@ -23,7 +23,6 @@ an empty reference table gives no rows; an empty parent makes all references
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -93,24 +92,18 @@ def direct_orphans(
     )
 
 
-@dataclass
-class Cascade:
-    """``direct``: orphan references.  ``inherited``: (child, ref_field, ref_key, depth, ref_day)."""
+def cascade(edges: list[Reference], parents: dict[str, DataFrame], scratch: Scratch, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """Orphans of a whole foreign-key graph, direct and inherited.
 
-    direct: DataFrame
-    inherited: Callable[[], DataFrame]
-
-
-def cascade(
-    edges: list[Reference], parents: dict[str, DataFrame], scratch: Scratch, limit: int = BROADCAST_ROWS, max_rounds: int = 64
-) -> Cascade:
-    """Orphans of a whole foreign-key graph.
-
-    ``parents[t]`` has ``parent_key, born`` for each table that edges refer to.
-    The fixpoint runs only when ``inherited`` is called; it fails if ``max_rounds`` don't reach it.  A record is tainted
-    if one of its references is ``absent``; its children are inherited orphans
-    of depth 1, theirs of depth 2, and so on.  A record reached along several
-    paths is reported once per field, at its smallest depth.
+    Gives ``child, ref_field, ref_key, parent_key, orphan_kind, ref_day, depth``:
+    depth 0 for the direct orphans, one row a reference; an inherited orphan has
+    the kind ``inherited``, no ``parent_key``, and the depth at which the taint
+    reached it.  ``parents[t]`` has ``parent_key, born`` for each table that edges
+    refer to.  A record is tainted if one of its references is ``absent``; its
+    children are inherited orphans of depth 1, theirs of depth 2, and so on.  A
+    record reached along several paths is reported once per field and day, at its
+    smallest depth.  Rounds go on until one taints no further record: each taints
+    records that weren't, so they end, in cycles too.
     """
     by_parent: dict[str, list[Reference]] = {}
     for e in edges:
@@ -119,42 +112,38 @@ def cascade(
     for parent, group in by_parent.items():
         one = direct_orphans(group, parents[parent], scratch, limit)
         direct = one if direct is None else direct.unionByName(one)
-
-    def inherited() -> DataFrame:
-        tainted = scratch.keep(
-            direct.where("orphan_kind = 'absent'").select(F.col("child").alias("parent"), F.col("ref_key").alias("parent_key")).distinct()
-        )
-        seen, found, depth = tainted, None, 0
-        while depth < max_rounds:
-            depth += 1
-            step = None
-            for e in edges:
-                one = (
-                    e.rows.where("parent_key is not null")
-                    .join(tainted.where(F.col("parent") == e.parent).select("parent_key"), "parent_key", "left_semi")
-                    .select(
-                        F.lit(e.child).alias("child"),
-                        F.lit(e.field).alias("ref_field"),
-                        "ref_key",
-                        F.lit(depth).alias("depth"),
-                        F.coalesce(F.date_format("ref_time", "yyyy-MM-dd"), F.lit("unknown")).alias("ref_day"),
-                    )
+    direct = scratch.keep(direct)
+    tainted = scratch.keep(direct.where("orphan_kind = 'absent'").select(F.col("child").alias("parent"), F.col("ref_key").alias("parent_key")).distinct())
+    tables = lambda df: {r["parent"] for r in df.select("parent").distinct().collect()}  # noqa: E731 - names of tables
+    seen, found, depth, live = tainted, None, 0, tables(tainted)
+    while live:
+        depth += 1
+        step = None
+        for e in edges:
+            if e.parent not in live:
+                continue
+            one = (
+                e.rows.where("parent_key is not null")
+                .join(tainted.where(F.col("parent") == e.parent).select("parent_key"), "parent_key", "left_semi")
+                .select(
+                    F.lit(e.child).alias("child"), F.lit(e.field).alias("ref_field"), "ref_key", F.lit(depth).alias("depth"),
+                    F.coalesce(F.date_format("ref_time", "yyyy-MM-dd"), F.lit("unknown")).alias("ref_day"),
                 )
-                step = one if step is None else step.unionByName(one)
-            step = scratch.keep(step.distinct())
-            fresh = scratch.keep(
-                step.select(F.col("child").alias("parent"), F.col("ref_key").alias("parent_key"))
-                .where("parent_key is not null")
-                .distinct()
-                .join(seen, ["parent", "parent_key"], "left_anti")
-            )
-            found = step if found is None else found.unionByName(step)
-            if fresh.isEmpty():
-                break
-            seen = seen.unionByName(fresh)
-            tainted = fresh
-        else:
-            raise RuntimeError(f"no fixpoint after {max_rounds} rounds")
-        return found.groupBy("child", "ref_field", "ref_key", "ref_day").agg(F.min("depth").alias("depth"))
-
-    return Cascade(direct, inherited)
+            )
+            step = one if step is None else step.unionByName(one)
+        if step is None:  # no table refers to a tainted one
+            break
+        step = scratch.keep(step.distinct())
+        found = step if found is None else found.unionByName(step)
+        fresh = scratch.keep(
+            step.select(F.col("child").alias("parent"), F.col("ref_key").alias("parent_key")).where("parent_key is not null").distinct().join(seen, ["parent", "parent_key"], "left_anti")
+        )
+        live = tables(fresh)
+        # one table of all tainted records: the plan doesn't grow with the rounds
+        seen = scratch.keep(seen.unionByName(fresh))
+        tainted = fresh
+    out = direct.withColumn("depth", F.lit(0))
+    if found is not None:
+        least = found.groupBy("child", "ref_field", "ref_key", "ref_day").agg(F.min("depth").alias("depth"))
+        out = out.unionByName(least.withColumns({"orphan_kind": F.lit("inherited"), "parent_key": F.lit(None).cast("bigint")}))
+    return out
