@@ -51,3 +51,8 @@ def entity_key(group: Column, text: Column) -> Column:
 def word_tokens(c: Column) -> Column:
     """Letter-digit runs of an already normalised text."""
     return F.regexp_extract_all(c, F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+
+
+def truncated(c: Column, chars: int) -> Column:
+    """The first ``chars`` characters and an ellipsis, if there are more."""
+    return F.when(F.length(c) <= chars, c).otherwise(F.concat(F.regexp_replace(F.left(c, F.lit(chars)), r"(?U)\s+$", ""), F.lit(" …")))

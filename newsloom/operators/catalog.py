@@ -94,3 +94,11 @@ def master_defects(master: DataFrame, n_embeddings: int) -> DataFrame:
         F.count_if(blank(F.col("model_text"))).alias("blank_texts"),
         F.count_if((F.col("embedding_row") < 0) | (F.col("embedding_row") >= n_embeddings)).alias("rows_out_of_range"),
     )
+
+
+def require_master(master: DataFrame, n_embeddings: int, name: str) -> DataFrame:
+    """The master itself, if nothing is wrong with it."""
+    wrong = {k: n for k, n in master_defects(master, n_embeddings).first().asDict().items() if n}
+    if wrong:
+        raise ValueError(f"{name}: {wrong}")
+    return master

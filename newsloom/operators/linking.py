@@ -62,13 +62,65 @@ def evidence(pairs: DataFrame, sets: DataFrame, article_events: DataFrame) -> Da
     out = p
     for one in (by_article, by_event, shared):
         out = out.join(one, ["short_key", "long_key"], "left")
+    articles, events = own.groupBy("entity").agg(F.count("*").alias("n")), ev.groupBy("entity").agg(F.count("*").alias("n"))
     for side in ("short", "long"):
-        out = out.join(size.select(F.col("entity").alias(f"{side}_key"), F.col("n").alias(f"{side}_size")), f"{side}_key", "left")
-    out = out.fillna(0, ["n_articles", "n_events", "n_context", "short_size", "long_size"])
+        for what, n in (("size", size), ("df", articles), ("events", events)):
+            out = out.join(n.select(F.col("entity").alias(f"{side}_key"), F.col("n").alias(f"{side}_{what}")), f"{side}_key", "left")
+    out = out.fillna(0, ["n_articles", "n_events", "n_context", *[f"{x}_{y}" for x in ("short", "long") for y in ("size", "df", "events")]])
     union = F.col("short_size") + F.col("long_size") - F.col("n_context")
     jaccard = F.when(union > 0, F.col("n_context") / union).otherwise(0.0)
     score = EVIDENCE["article"] * F.col("n_articles") + EVIDENCE["event"] * F.col("n_events") + EVIDENCE["context"] * jaccard - EVIDENCE["competing"] * F.greatest(F.col("competing") - 1, F.lit(0))
-    return out.select("entity_group", "short", "long", "competing", "n_articles", "n_events", "n_context", F.round(jaccard, 6).alias("jaccard"), F.round(score, 6).alias("score"))
+    return out.select("entity_group", "short", "long", "competing", "short_df", "long_df", "short_events", "long_events", "n_articles", "n_events", "n_context", F.round(jaccard, 6).alias("jaccard"), F.round(score, 6).alias("score"))
+
+
+def context_profile(m: DataFrame, article_events: DataFrame, top: int = 10) -> DataFrame:
+    """Per entity (``canonical_entity_key``) of train: articles, mentions, events, other entities beside it and the most frequent of these; the limit is the feature."""
+    t = m.where("is_train_used")
+    base = t.groupBy("canonical_entity_key").agg(F.count_distinct("article_id").alias("n_articles"), F.count("*").alias("n_mentions"))
+    sets = t.select("article_id", F.col("canonical_entity_key").alias("entity")).distinct()
+    known = article_events.where("event_id is not null and event_id <> -1 and article_id is not null").select(F.col("article_id").cast("bigint"), "event_id").distinct()
+    events = sets.join(known, "article_id").groupBy("entity").agg(F.count_distinct("event_id").alias("n_events"))
+    beside = sets.join(sets.withColumnRenamed("entity", "other"), "article_id").where("entity <> other").groupBy("entity", "other").agg(F.count("*").alias("n"))
+    w = Window.partitionBy("entity").orderBy(F.desc("n"), "other")
+    few = beside.withColumn("place", F.row_number().over(w)).where(F.col("place") <= top)
+    shown = few.groupBy("entity").agg(F.array_join(F.sort_array(F.collect_list(F.struct("place", F.format_string("%s (%d)", "other", "n").alias("t"))))["t"], "|").alias("top_contexts"))
+    many = beside.groupBy("entity").agg(F.count("*").alias("n_contexts"))
+    out = base
+    for one in (events, many, shown):
+        out = out.join(one.withColumnRenamed("entity", "canonical_entity_key"), "canonical_entity_key", "left")
+    return out.fillna(0, ["n_events", "n_contexts"]).fillna("", ["top_contexts"])
+
+
+def tiered(e: DataFrame) -> DataFrame:
+    """Candidates with tier and rank, the share of either side's articles that hold both, and whether they are reviewed first or are ambiguous.
+
+    ``review_order`` gives the order in which they are reviewed.
+    """
+    t = tier(e)
+    rank = F.array_position(F.array(*[F.lit(x) for x in TIERS]), F.col("tier")).cast("bigint")
+    share = lambda n: F.when(F.col(n) > 0, F.round(F.col("n_articles") / F.col(n), 6)).otherwise(0.0)
+    return t.withColumns(
+        {
+            "tier_rank": rank, "is_unique_short": F.col("competing") == 1, "long_coverage": share("long_df"), "short_coverage": share("short_df"),
+            "is_priority": F.col("tier").isin("A1_UNIQUE_SAME_ARTICLE", "A2_UNIQUE_SHARED_EVENT"), "is_ambiguous": F.col("tier").startswith("C"),
+        }
+    )
+
+
+#: Tiers in the order of review.
+TIERS = ("A1_UNIQUE_SAME_ARTICLE", "A2_UNIQUE_SHARED_EVENT", "B_UNIQUE_CONTEXT_ONLY", "C1_AMBIGUOUS_SAME_ARTICLE", "C2_AMBIGUOUS_SHARED_EVENT", "C3_AMBIGUOUS_CONTEXT_ONLY", "D_WEAK_EVIDENCE")
+
+
+def review_order() -> list[Column]:
+    return [F.col("tier_rank"), *[F.desc(c) for c in ("n_articles", "n_events", "jaccard", "score")], *[F.col(c) for c in ("entity_group", "short", "long")]]
+
+
+def tier_statistics(t: DataFrame) -> DataFrame:
+    """Candidates and short forms of each tier, of all and by group."""
+    out = t.groupingSets([[F.col("tier"), F.col("tier_rank")], [F.col("tier"), F.col("tier_rank"), F.col("entity_group")]], F.col("tier"), F.col("tier_rank"), F.col("entity_group")).agg(
+        F.count("*").alias("n_candidates"), F.count_distinct(F.struct("entity_group", "short")).alias("n_shorts")
+    )
+    return out.withColumn("entity_group", F.coalesce("entity_group", F.lit("ALL")))
 
 
 def numbered_candidates(e: DataFrame, scratch: Scratch) -> DataFrame:
@@ -92,12 +144,14 @@ def tier(e: DataFrame) -> DataFrame:
     return e.withColumn("tier", label)
 
 
-def metric_quantiles(e: DataFrame, metrics: list[str], quantiles: tuple[float, ...] = (0.25, 0.5, 0.75, 0.9, 0.95, 0.99)) -> DataFrame:
-    """Mean and quantiles of each metric, over all candidates and by group, in one grouping-sets pass."""
+def metric_quantiles(e: DataFrame, metrics: list[str], groups: tuple[str, ...] = ("PER", "ORG"), quantiles: tuple[float, ...] = (0.25, 0.5, 0.75, 0.9, 0.95, 0.99)) -> DataFrame:
+    """Count, range, mean and quantiles of each metric, over all candidates and by group, in one grouping-sets pass; zeros where there is no candidate."""
     long = e.unpivot(["entity_group"], metrics, "metric", "value")
     q = [F.round(F.percentile("value", F.lit(x)), 6).alias(f"p{int(x * 100)}") for x in quantiles]
-    out = long.groupingSets([[F.col("metric")], [F.col("metric"), F.col("entity_group")]], F.col("metric"), F.col("entity_group")).agg(F.round(F.avg("value"), 6).alias("mean"), *q)
-    return out.withColumn("entity_group", F.coalesce("entity_group", F.lit("ALL")))
+    agg = [F.count("*").alias("n"), F.round(F.min("value"), 6).alias("min"), F.round(F.max("value"), 6).alias("max"), F.round(F.avg("value"), 6).alias("mean"), *q]
+    out = long.groupingSets([[F.col("metric")], [F.col("metric"), F.col("entity_group")]], F.col("metric"), F.col("entity_group")).agg(*agg).withColumn("entity_group", F.coalesce("entity_group", F.lit("ALL")))
+    grid = e.sparkSession.createDataFrame([(m, g) for m in metrics for g in ("ALL", *groups)], "metric string, entity_group string")
+    return grid.join(out, ["metric", "entity_group"], "left").fillna(0).fillna(0.0)
 
 
 def universe(m: DataFrame, groups: list[str] | None = None) -> DataFrame:
@@ -114,14 +168,6 @@ def pending(wanted: DataFrame, done: DataFrame, limit: int | None = None) -> Dat
     return open_ if limit is None else open_.orderBy(F.desc("article_df"), F.desc("mention_count"), "canonical_entity_key").limit(limit)
 
 
-def exploded_candidates(found: DataFrame) -> DataFrame:
-    """Search results (``canonical_entity_key, hits`` as array of structs) as one row a hit; an id seen before is dropped."""
-    rows = found.select("canonical_entity_key", F.posexplode("hits").alias("pos", "h")).select("canonical_entity_key", "pos", "h.*")
-    w = Window.partitionBy("canonical_entity_key")
-    first = rows.withColumn("nth", F.row_number().over(Window.partitionBy("canonical_entity_key", "qid").orderBy("pos"))).where("nth = 1").drop("nth")
-    return first.withColumn("candidate_rank", F.row_number().over(w.orderBy("pos"))).drop("pos")
-
-
 def class_filter(candidates: DataFrame, instance_of: DataFrame, subclass_of: DataFrame, scratch: Scratch, depth: int = 8) -> DataFrame:
     """Candidates with ``type_status``: UNCHECKED, UNKNOWN (no class), MATCH or MISMATCH with the group's roots.
 
@@ -135,11 +181,22 @@ def class_filter(candidates: DataFrame, instance_of: DataFrame, subclass_of: Dat
     return candidates.join(typed, "qid", "left").join(reach, ["entity_group", "qid"], "left").withColumn("type_status", status).drop("typed", "match")
 
 
-def filter_summary(typed: DataFrame) -> DataFrame:
-    """Per entity: how many candidates match its type."""
-    n = typed.groupBy("entity_group", "canonical_entity_key").agg(F.count("*").alias("n_candidates"), *[F.count_if(F.col("type_status") == s).alias(s.lower()) for s in ("MATCH", "MISMATCH", "UNKNOWN", "UNCHECKED")])
-    label = F.when(F.col("unchecked") > 0, "UNCHECKED_GROUP").when(F.col("match") == 1, "ONE_TYPE_MATCH").when(F.col("match") > 1, "MULTIPLE_TYPE_MATCH").when(F.col("unknown") > 0, "NO_MATCH_WITH_UNKNOWN").otherwise("NO_TYPE_MATCH")
-    return n.withColumn("filter_status", label)
+def filter_summary(typed: DataFrame, status: DataFrame) -> DataFrame:
+    """Per searched entity how many candidates are of its type, what that says, and the only one that is, if it is alone.
+
+    ``status``: the searched entities with their status; what wasn't found keeps it.
+    """
+    match = F.col("type_status") == "MATCH"
+    n = typed.groupBy("canonical_entity_key").agg(F.count("*").alias("n_candidates"), *[F.count_if(F.col("type_status") == s).alias(s.lower()) for s in ("MATCH", "MISMATCH", "UNKNOWN", "UNCHECKED")], F.min(F.when(match, F.struct("qid", "label"))).alias("m"))
+    counts = ("n_candidates", "match", "mismatch", "unknown", "unchecked")
+    out = status.select("entity_group", "canonical_entity_key", "status").join(n, "canonical_entity_key", "left").fillna(0, list(counts))
+    policy = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in TYPE_POLICIES.items() for x in kv]), F.col("entity_group")), F.lit("UNCHECKED"))
+    label = (
+        F.when(F.col("status") != "FOUND", F.col("status")).when(policy == "UNCHECKED", "UNCHECKED_GROUP").when(F.col("match") == 1, "ONE_TYPE_MATCH")
+        .when(F.col("match") > 1, "MULTIPLE_TYPE_MATCH").when(F.col("unknown") > 0, "NO_MATCH_WITH_UNKNOWN").otherwise("NO_TYPE_MATCH")
+    )
+    one = F.when(F.col("match") == 1, F.col("m"))
+    return out.select("entity_group", "canonical_entity_key", policy.alias("policy"), *counts, label.alias("filter_status"), one["qid"].alias("one_match_qid"), one["label"].alias("one_match_label"))
 
 
 def context_tokens(c: Column) -> Column:
@@ -182,27 +239,6 @@ def consistency(status: DataFrame, entity: str) -> DataFrame:
     return best.select(entity, F.col("top_qid").alias("dominant_qid"), F.col("cases").alias("n_cases"), F.round(F.col("n") / F.col("cases"), 6).alias("dominant_ratio"))
 
 
-def resolved_links(mentions: DataFrame, decisions: DataFrame, candidates: DataFrame) -> DataFrame:
-    """Links of distinct (article, key): a decision counts only if its id is among the candidates.
-
-    Unknown keys are ignored; a missing, repeated or invalid decision gives
-    UNLINKED; LINKED turns the key into ``WD::<qid>``.
-    """
-    pairs = mentions.select("article_id", "canonical_entity_key").distinct()
-    counted = candidates.groupBy("canonical_entity_key").agg(F.count_distinct("qid").alias("candidate_count"))
-    once = decisions.withColumn("copies", F.count("*").over(Window.partitionBy("article_id", "canonical_entity_key"))).where("copies = 1").drop("copies")
-    valid = once.join(candidates.select("canonical_entity_key", F.col("qid").alias("selected_qid")).distinct(), ["canonical_entity_key", "selected_qid"], "left_semi").where("decision = 'LINKED'")
-    out = pairs.join(counted, "canonical_entity_key", "left").join(valid.select("article_id", "canonical_entity_key", "selected_qid"), ["article_id", "canonical_entity_key"], "left")
-    return out.select(
-        "article_id",
-        "canonical_entity_key",
-        F.coalesce("candidate_count", F.lit(0)).alias("candidate_count"),
-        F.when(F.col("selected_qid").isNotNull(), "LINKED").otherwise("UNLINKED").alias("decision"),
-        "selected_qid",
-        F.coalesce(F.concat(F.lit("WD::"), "selected_qid"), "canonical_entity_key").alias("linked_entity_key"),
-    )
-
-
 def scope_ids(ids: DataFrame, limit: int | None, scratch: Scratch) -> DataFrame:
     """Articles to process: all without a limit; else half train, half other, what one half lacks goes to the other; ids as text order them."""
     if limit is None:

@@ -12,6 +12,7 @@ import re
 import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,6 +25,8 @@ BROADCAST_ROWS = 400_000
 #: Bytes that a value takes in a broadcast row: of a fixed width, or of a type that has no bound of its own.
 FIXED_BYTES, LOOSE_BYTES = 16, 256
 
+UNION_PARTITIONING = "spark.sql.unionOutputPartitioning"
+
 _local_root: str | None = None
 
 
@@ -39,7 +42,35 @@ def session(app: str = "newsloom", master: str = "local[8]", **conf: str) -> Spa
         "spark.ui.showConsoleProgress": "false",
         **conf,
     }
-    return SparkSession.builder.appName(app).master(master).config(map=settings).getOrCreate()
+    spark = sound(SparkSession.builder.appName(app).master(master).config(map=settings).getOrCreate())
+    if not threads_only(spark):
+        ship_package(spark)
+    return spark
+
+
+def sound(spark: SparkSession) -> SparkSession:
+    """The session with a rewriting of Spark 4.1 turned off that gives wrong results.
+
+    It takes a union of inputs that are partitioned alike for partitioned itself,
+    also where adaptive execution has merged the partitions of one input only;
+    rows of one key are then aggregated apart.
+    """
+    if spark.conf.get(UNION_PARTITIONING, "true") != "false":
+        spark.conf.set(UNION_PARTITIONING, "false")
+    return spark
+
+
+def threads_only(spark: SparkSession) -> bool:
+    """Whether the executors are threads of this process."""
+    return re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master) is not None
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Sends this package to the executors, whose Python workers import it by name."""
+    root = Path(__file__).resolve().parent
+    with tempfile.TemporaryDirectory() as folder:
+        archive = shutil.make_archive(f"{folder}/newsloom", "zip", root.parent, root.name)
+        spark.sparkContext.addPyFile(archive)  # Spark keeps a copy of its own
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -48,9 +79,8 @@ def shared_folder(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
-    master = spark.sparkContext.master
-    if not re.fullmatch(r"local(\[.*\])?", master):
-        raise RuntimeError(f"spark.checkpoint.dir must name a folder that all executors of {master} share")
+    if not threads_only(spark):
+        raise RuntimeError(f"spark.checkpoint.dir must name a folder that all executors of {spark.sparkContext.master} share")
     if _local_root is None:
         _local_root = tempfile.mkdtemp(prefix="newsloom-")
         atexit.register(shutil.rmtree, _local_root, ignore_errors=True)
@@ -67,7 +97,7 @@ class Scratch:
     """
 
     def __init__(self, spark: SparkSession, label: str):
-        self.spark = spark
+        self.spark = sound(spark)
         self.root = f"{shared_folder(spark)}/newsloom-{label}-{uuid.uuid4().hex[:12]}"
         self.n = 0
         atexit.register(self.close)

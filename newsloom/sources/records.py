@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -21,12 +22,21 @@ class PipelineConfig:
     high_df_ratio: float = 0.01
     entity_mode: str = "normalize_only"
     entity_version: str = "v2"
+    semantic_ids: str | None = None
+    stop_on_fail: bool = True
     required: dict[str, list[str]] = field(default_factory=dict)
 
     @classmethod
     def read(cls, path: str) -> PipelineConfig:
+        """From JSON, or from YAML where a reader for it is installed."""
         with open(path, encoding="utf-8") as f:
-            return cls(**json.load(f))
+            if not path.endswith((".yaml", ".yml")):
+                return cls(**json.load(f))
+            try:
+                import yaml
+            except ImportError as e:
+                raise ValueError(f"{path} is YAML, and no reader for it is installed; JSON needs none") from e
+            return cls(**yaml.safe_load(f))
 
 
 def read_cache(spark: SparkSession, path: str, schema: str, key: str) -> DataFrame:
@@ -48,12 +58,26 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).csv(path)
 
 
-def write_report(row: DataFrame, path: str) -> dict:
-    """A one-row table of metrics as a JSON file; returns it."""
-    out = row.first().asDict(recursive=True)
-    with open(path, "w", encoding="utf-8") as f:
-        json.dump(out, f, ensure_ascii=False, indent=2, default=str)
-    return out
+def write_text(spark: SparkSession, text: str, path: str) -> None:
+    """A small text file on any file system: written beside its place, then moved there whole."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()  # noqa: SLF001
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    part = jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex[:8]}.part")
+    fs = target.getFileSystem(conf)
+    out = fs.create(part, True)
+    try:
+        out.write(bytearray(text.encode("utf-8")))
+    finally:
+        out.close()
+    fs.delete(target, False)
+    if not fs.rename(part, target):
+        raise OSError(f"{path} can't be written")
+
+
+def write_report(spark: SparkSession, report: dict, path: str) -> dict:
+    """Metrics as a JSON file; returns them."""
+    write_text(spark, json.dumps(report, ensure_ascii=False, indent=2, default=str) + "\n", path)
+    return report
 
 
 def claim_ids(payload, prop: str):

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from newsloom.runtime import sound
+
 
 def load(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """Table ``name`` of ``folder``; columns and filters are pruned by the optimiser."""
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    return sound(spark).read.parquet(f"{folder}/{name}.parquet")

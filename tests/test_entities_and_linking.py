@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from newsloom.operators import catalog as C
 from newsloom.operators import entities as E
-from newsloom.operators import export, linking, vectors
+from newsloom.operators import export, linking, search, vectors
 from newsloom.operators.sampling import diverse_sample
 from newsloom.plans import linking_queries
 from newsloom.runtime import Scratch
@@ -109,12 +109,59 @@ def test_context_tokens_fold_case(spark):
     assert set(linking_queries._article_tokens(df).first()["article_tokens"]) == {"strasse", "film", "arla", "οδοσ"}
 
 
+D = "article_id bigint, canonical_entity_key string, decision string, selected_qid string, confidence string, reason string"
+
+
 def test_decisions(spark):
-    m = spark.createDataFrame([(1, "k"), (1, "k"), (2, "k"), (3, "l"), (4, "k")], "article_id bigint, canonical_entity_key string")
+    m = spark.createDataFrame([(1, "k"), (1, "k"), (2, "k"), (3, "l"), (4, "k"), (5, "k"), (6, "k"), (7, "k")], "article_id bigint, canonical_entity_key string")
     c = spark.createDataFrame([("k", "Q1"), ("k", "Q2")], "canonical_entity_key string, qid string")
-    d = spark.createDataFrame([(1, "k", "LINKED", "Q1"), (2, "k", "LINKED", "Q9"), (3, "l", "LINKED", "Q1"), (4, "k", "LINKED", "Q1"), (4, "k", "LINKED", "Q2"), (9, "z", "LINKED", "Q1")], "article_id bigint, canonical_entity_key string, decision string, selected_qid string")
-    got = {(r["article_id"], r["canonical_entity_key"]): r["linked_entity_key"] for r in linking.resolved_links(m, d, c).collect()}
-    assert got == {(1, "k"): "WD::Q1", (2, "k"): "k", (3, "l"): "l", (4, "k"): "k"}
+    say = lambda i, k, d, q: (i, k, d, q, "HIGH", "r")
+    given = [say(1, "k", "LINKED", "Q1"), say(2, "k", "LINKED", "Q9"), say(3, "l", "LINKED", "Q1"), say(4, "k", "LINKED", "Q1"), say(4, "k", "LINKED", "Q2"), say(6, "k", "UNLINKED", "Q1"), say(7, "k", "UNLINKED", ""), say(9, "z", "LINKED", "Q1")]
+    again = [say(2, "k", "LINKED", "Q2"), say(4, "k", "LINKED", "Q7"), say(1, "k", "UNLINKED", None)]
+    got = {r["article_id"]: (r["linked_entity_key"], r["resolution_source"], r["reason"]) for r in search.resolved(m, c, spark.createDataFrame(given, D), spark.createDataFrame(again, D)).collect()}
+    assert got == {
+        1: ("WD::Q1", "DECISION", "r"), 2: ("WD::Q2", "REPAIR", "r"), 3: ("l", "NO_CANDIDATE", "no candidate"), 4: ("k", "FALLBACK", "repeated decision"), 5: ("k", "FALLBACK", "missing decision"), 6: ("k", "FALLBACK", "id without a link"), 7: ("k", "DECISION", "r"),
+    }
+    assert search.resolved(m.limit(0), c, spark.createDataFrame([], D), spark.createDataFrame([], D)).isEmpty()
+
+
+HITS = "entity_group string, canonical_entity string, canonical_entity_key string, language string, rank bigint, qid string, label string, description string, match_text string"
+
+
+def test_hits_of_two_languages(spark):
+    hit = lambda lang, rank, q: ("PER", "a", "PER::a", lang, rank, q, f"{q} {lang}", None, f"{q} {lang}")
+    hits = spark.createDataFrame([hit("en", 1, "Q2"), hit("en", 2, "Q1"), hit("da", 1, "Q1"), hit("da", 3, "Q3"), hit("da", 3, "Q3"), hit("sv", 1, "Q4")], HITS)
+    assert [(r["qid"], r["search_language"]) for r in search.first_seen(hits).orderBy("candidate_rank").collect()] == [("Q1", "da"), ("Q3", "da"), ("Q2", "en"), ("Q4", "sv")]
+    both = search.merged(hits, most=3).orderBy("candidate_index").collect()
+    assert [(r["qid"], r["best_rank"], r["languages"], r["label"], r["matched_texts"]) for r in both] == [("Q1", 1, "da,en", "Q1 da", ["Q1 da", "Q1 en"]), ("Q2", 1, "en", "Q2 en", ["Q2 en"]), ("Q4", 1, "sv", "Q4 sv", ["Q4 sv"])]
+    u = spark.createDataFrame([("PER", "a", "PER::a", 1, 1), ("PER", "b", "PER::b", 1, 1), ("PER", "c", "PER::c", 1, 1)], "entity_group string, canonical_entity string, canonical_entity_key string, article_df int, mention_count int")
+    st = search.search_status(u, search.first_seen(hits), u.where("canonical_entity = 'c'"))
+    assert {(r["canonical_entity"], r["status"], r["candidate_count"]) for r in st.collect()} == {("a", "FOUND", 4), ("b", "NO_CANDIDATE", 0), ("c", "ERROR", 0)}
+
+
+def test_payloads_and_contexts(spark):
+    pairs = spark.createDataFrame([(1, "PER", f"e{i:02}", f"PER::e{i:02}") for i in range(19)] + [(2, "ORG", "x", "ORG::x")], "article_id bigint, entity_group string, canonical_entity string, canonical_entity_key string")
+    a = spark.createDataFrame([(1, " T ", "S ", None), (1, "U", "", ""), (2, None, " ", "b" * 50), (None, "x", "", "")], "article_id bigint, title string, subtitle string, body string")
+    got = {(r["article_id"], r["chunk"]): r for r in search.payload_chunks(pairs, search.context_map(a, ["subtitle", "body"], 10), most=5).collect()}
+    assert {k: r["n_targets"] for k, r in got.items()} == {(1, 0): 8, (1, 1): 8, (1, 2): 3, (2, 0): 1}
+    assert got[1, 1]["coentities"] == "|".join(f"e{i:02} (PER)" for i in range(5)) and got[1, 0]["coentities"].startswith("e08 (PER)") and got[2, 0]["coentities"] == ""
+    assert (got[1, 0]["title"], got[1, 0]["context"], got[2, 0]["context"]) == ("T", "S", "b" * 10 + " …")
+    assert search.context_map(a, ["body"]).where("article_id = 2").first()["context"] == "b" * 50
+
+
+def test_type_policies_and_statuses(spark):
+    typed = spark.createDataFrame([("PER", "p", "Q1", "L1", "MATCH"), ("PER", "p", "Q2", "L2", "MISMATCH"), ("ORG", "o", "Q1", "L", "UNKNOWN"), ("MISC", "m", "Q1", "L", "UNCHECKED"), ("LOC", "l", "Q1", "L", "MISMATCH")], "entity_group string, canonical_entity_key string, qid string, label string, type_status string")
+    status = spark.createDataFrame([("PER", "p", "FOUND"), ("ORG", "o", "FOUND"), ("MISC", "m", "FOUND"), ("LOC", "l", "FOUND"), ("EVENT", "e", "ERROR"), ("PROD", "n", "NO_CANDIDATE")], "entity_group string, canonical_entity_key string, status string")
+    got = {r["canonical_entity_key"]: (r["policy"], r["filter_status"], r["one_match_qid"], r["n_candidates"]) for r in linking.filter_summary(typed, status).collect()}
+    assert got == {
+        "p": ("STRICT", "ONE_TYPE_MATCH", "Q1", 2), "o": ("CONSERVATIVE", "NO_MATCH_WITH_UNKNOWN", None, 1), "m": ("UNCHECKED", "UNCHECKED_GROUP", None, 1),
+        "l": ("CONSERVATIVE", "NO_TYPE_MATCH", None, 1), "e": ("DIAGNOSTIC_ONLY", "ERROR", None, 0), "n": ("CONSERVATIVE", "NO_CANDIDATE", None, 0),
+    }
+
+
+def test_quantiles_of_nothing_are_zeros(spark):
+    got = linking.metric_quantiles(spark.createDataFrame([], "entity_group string, x double"), ["x"]).collect()
+    assert {(r["entity_group"], r["n"], r["p99"], r["max"]) for r in got} == {("ALL", 0, 0.0, 0.0), ("PER", 0, 0.0, 0.0), ("ORG", 0, 0.0, 0.0)}
 
 
 def test_context_status(spark):
@@ -151,11 +198,16 @@ def test_cache_report_and_csv(spark, tmp_path):
     assert {tuple(r) for r in got.collect()} == {("x", 3), ("y", 2)}
     records.append_cache(spark.createDataFrame([("z", 9)], "k string, v int"), folder)
     assert records.read_cache(spark, folder, "k string, v int", "k").count() == 3
-    assert records.write_report(got.agg(F.count("*").alias("n")), f"{tmp_path}/r.json") == {"n": 2}  # the files listed when it was read
+    assert records.write_report(spark, got.agg(F.count("*").alias("n")).first().asDict(), f"{tmp_path}/r.json") == {"n": 2}  # the files listed when it was read
+    records.write_report(spark, {"n": "æ"}, f"{tmp_path}/r.json")
+    assert json.loads((tmp_path / "r.json").read_text(encoding="utf-8")) == {"n": "æ"} and not list(tmp_path.glob("*.part"))
     records.write_csv(got, f"{tmp_path}/c")
     assert spark.read.option("header", True).csv(f"{tmp_path}/c").columns == ["k", "v"]
     (tmp_path / "p.json").write_text(json.dumps({"data": "d", "output": "o", "similarity": 0.4}))
     assert records.PipelineConfig.read(f"{tmp_path}/p.json").similarity == 0.4
+    (tmp_path / "q.json").write_text(json.dumps({"data": "d", "output": "o", "unknown": 1}))
+    with pytest.raises(TypeError):
+        records.PipelineConfig.read(f"{tmp_path}/q.json")
 
 
 def test_claims(spark):
