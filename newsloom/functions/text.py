@@ -56,3 +56,19 @@ def word_tokens(c: Column) -> Column:
 def truncated(c: Column, chars: int) -> Column:
     """The first ``chars`` characters and an ellipsis, if there are more."""
     return F.when(F.length(c) <= chars, c).otherwise(F.concat(F.regexp_replace(F.left(c, F.lit(chars)), r"(?U)\s+$", ""), F.lit(" …")))
+
+
+def loose_cast(c: Column, kind: str) -> Column:
+    """The value in another type, null where it can't be read as that."""
+    return c.try_cast(kind)
+
+
+def content_key(*parts: Column) -> Column:
+    """Key of what is asked for, the same at every run: SHA-256 of the parts as JSON."""
+    return F.sha2(F.to_json(F.array(*[F.coalesce(p.cast("string"), F.lit("")) for p in parts])), 256)
+
+
+@F.pandas_udf(T.StringType())
+def character_name(characters: pd.Series) -> pd.Series:
+    """Unicode name of a character; meant for the few distinct ones of an inventory."""
+    return characters.map(lambda ch: None if ch is None else unicodedata.name(ch, f"U+{ord(ch):04X}"))

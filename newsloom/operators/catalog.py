@@ -54,6 +54,14 @@ def used_ids(b: DataFrame, h: DataFrame, inview: bool) -> DataFrame:
     return out.where("a is not null").select(F.col("a").cast("bigint").alias("article_id")).distinct()
 
 
+def excluded_ids(used: DataFrame, valid: DataFrame, examples: int = 10) -> DataFrame:
+    """Used ids that aren't valid articles: how many, the smallest ones, WARNING if there is any."""
+    lost = used.join(valid.select("article_id"), "article_id", "left_anti")
+    few = lost.orderBy("article_id").limit(examples).agg(lists.text_of(F.sort_array(F.collect_list("article_id"))).alias("examples"))
+    n = lost.agg(F.count("*").alias("n_excluded")).withColumn("examples", few.scalar())
+    return n.withColumn("status", F.when(F.col("n_excluded") > 0, "WARNING").otherwise("PASS"))
+
+
 def category_mapping(articles: DataFrame) -> DataFrame:
     """Categories in order, numbered from 1; ``<UNK>`` is 0.  The categories are few: one window orders them."""
     c = strip(F.col("category_str"))

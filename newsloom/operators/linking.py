@@ -232,11 +232,11 @@ def context_status(scores: DataFrame, case: list[str]) -> DataFrame:
 
 
 def consistency(status: DataFrame, entity: str) -> DataFrame:
-    """Per entity: its most frequent winner (first seen among equals) and that one's share."""
+    """Per entity: its most frequent winner (first seen among equals), that one's share, and its cases by status."""
     n = status.groupBy(entity, "top_qid").agg(F.count("*").alias("n"), F.min("article_id").alias("first"))
-    w = Window.partitionBy(entity)
-    best = n.withColumns({"cases": F.sum("n").over(w), "place": F.row_number().over(w.orderBy(F.desc("n"), "first", "top_qid"))}).where("place = 1")
-    return best.select(entity, F.col("top_qid").alias("dominant_qid"), F.col("cases").alias("n_cases"), F.round(F.col("n") / F.col("cases"), 6).alias("dominant_ratio"))
+    best = n.groupBy(entity).agg(F.sum("n").alias("n_cases"), F.max_by(F.struct("top_qid", "n"), F.struct("n", (-F.col("first")).alias("f"))).alias("b"), F.count("*").alias("n_winners"))
+    kinds = status.groupBy(entity).agg(*[F.count_if(F.col("status") == s).alias(f"n_{s.lower()}") for s in ("SINGLE", "UNIQUE_TOP", "WEAK_TOP", "TIE", "ZERO")])
+    return best.join(kinds, entity).select(entity, F.col("b.top_qid").alias("dominant_qid"), "n_cases", F.round(F.col("b.n") / F.col("n_cases"), 6).alias("dominant_ratio"), "n_winners", *[c for c in kinds.columns if c != entity])
 
 
 def scope_ids(ids: DataFrame, limit: int | None, scratch: Scratch) -> DataFrame:

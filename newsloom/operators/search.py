@@ -8,6 +8,9 @@ Empty tables give no rows; an entity without hits keeps its row in
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -97,6 +100,28 @@ def token_cost(read: Column, cached: Column, written: Column) -> Column:
     return F.greatest(read - cached, F.lit(0)) / 1e6 * TOKEN_PRICES["input"] + cached / 1e6 * TOKEN_PRICES["cached"] + written / 1e6 * TOKEN_PRICES["output"]
 
 
+def decided(payloads: DataFrame, decide: Callable[[list[dict]], list[dict]], schema: str) -> DataFrame:
+    """What ``decide`` answers: it is given the payloads of an Arrow batch, as dicts, and returns rows of ``schema``; it runs on the workers.
+
+    A batch is as large as ``spark.sql.execution.arrow.maxRecordsPerBatch``; an empty answer gives no rows.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = [f.split()[0] for f in schema.split(",")]
+        for pdf in batches:
+            answers = decide(pdf.to_dict("records"))
+            if answers:
+                yield pd.DataFrame(answers, columns=names)
+
+    return payloads.mapInPandas(run, schema)
+
+
+def probed(names: DataFrame, hits: DataFrame) -> DataFrame:
+    """The given entities (``canonical_entity_key``) with their hits; one without any has a row of nulls."""
+    found = hits.groupBy("canonical_entity_key").agg(F.sort_array(F.collect_list(F.struct("rank", "language", "qid", "label"))).alias("h"))
+    return names.select("canonical_entity_key").distinct().join(found, "canonical_entity_key", "left").select("canonical_entity_key", F.explode_outer("h").alias("h")).select("canonical_entity_key", "h.*")
+
+
 def judged(pairs: DataFrame, candidates: DataFrame, decisions: DataFrame) -> DataFrame:
     """``pairs`` (article_id, canonical_entity_key) with the decision on each and the ``issue`` that keeps it from counting, or null.
 

@@ -45,3 +45,16 @@ def vector_defects(df: DataFrame, key: str, vector: str, width: int, tolerance:
 def centroids(df: DataFrame, group: str, vector: str) -> DataFrame:
     """Mean vector of each group by position, as (group, dim, value)."""
     return df.select(group, F.posexplode(vector).alias("dim", "x")).groupBy(group, "dim").agg(F.avg(F.col("x").cast("double")).alias("value"))
+
+
+def require_vectors(df: DataFrame, key: str, vector: str, width: int, n_rows: int | None = None) -> DataFrame:
+    """The table itself, if its vectors are single precision and can be used: rows numbered from 0 without a gap, of one width, finite, of unit length."""
+    kind = dict(df.dtypes)[vector]
+    if kind != "array<float>":
+        raise ValueError(f"{vector} is {kind}, not array<float>")
+    found = vector_defects(df, key, vector, width).first().asDict()
+    n = found.pop("n_rows")
+    wrong = {k: v for k, v in found.items() if v}
+    if wrong or (n_rows is not None and n != n_rows):
+        raise ValueError(f"{n} vectors, {wrong}")
+    return df

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from newsloom.functions.text import blank, strip
 from newsloom.operators import catalog as C
 from newsloom.plans.base import articles, behaviors, history, strip_sql
 from newsloom.plans.quality_queries import usable_sql
@@ -58,6 +59,15 @@ def split_id_sets(spark: SparkSession, d: str) -> DataFrame:
     return both.withColumn("train_not_valid", lost.scalar())
 
 
+def used_id_exclusions(spark: SparkSession, d: str) -> DataFrame:
+    """Ids that each split uses but that aren't valid articles."""
+    out = None
+    for split, inview in (("train", False), ("validation", True)):
+        one = C.excluded_ids(C.used_ids(behaviors(spark, d, split), history(spark, d), inview), valid(spark, d)).select(F.lit(split).alias("split"), "*")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def category_mapping(spark: SparkSession, d: str) -> DataFrame:
     used = valid(spark, d).join(train_ids(spark, d), "article_id", "left_semi")
     return C.category_mapping(used)
@@ -73,18 +83,19 @@ def articles_with_category(spark: SparkSession, d: str) -> DataFrame:
 
 def category_coverage(spark: SparkSession, d: str) -> DataFrame:
     """Known, blank and unseen categories of all valid articles."""
-    from newsloom.functions.text import blank
-
     c = categorised(spark, d)
     b = blank(F.col("category_str"))
-    return c.agg(F.count("*").alias("n_articles"), F.count_if(F.col("model_category_id") > 0).alias("known"), F.count_if(b).alias("blank"), F.count_if(~b & (F.col("model_category_id") == 0)).alias("unseen"))
+    unseen = c.where(~b & (F.col("model_category_id") == 0)).select(strip(F.col("category_str")).alias("category_str")).distinct().orderBy("category_str").limit(10)
+    return c.agg(F.count("*").alias("n_articles"), F.count_if(F.col("model_category_id") > 0).alias("known"), F.count_if(b).alias("blank"), F.count_if(~b & (F.col("model_category_id") == 0)).alias("unseen")).withColumn(
+        "examples", unseen.agg(F.array_join(F.sort_array(F.collect_list("category_str")), "|")).scalar()
+    )
 
 
 def embedding_input(spark: SparkSession, d: str) -> DataFrame:
     return C.embedding_input(valid(spark, d), Scratch(spark, "embedding"))
 
 
-_names = "valid_articles article_exclusions train_used_ids validation_used_ids split_id_sets category_mapping articles_with_category category_coverage embedding_input".split()
+_names = "valid_articles article_exclusions train_used_ids validation_used_ids split_id_sets used_id_exclusions category_mapping articles_with_category category_coverage embedding_input".split()
 QUERIES = {n: globals()[n] for n in _names}
 
 _T, _S = strip_sql("coalesce(title, '')"), strip_sql("coalesce(subtitle, '')")
@@ -121,6 +132,9 @@ SQL = {
     "category_mapping": WITH + "select * from cm",
     "articles_with_category": WITH + "select article_id, category_str, model_category_id from vc",
     "category_coverage": WITH + f"""select count(*) n_articles, count(*) filter (model_category_id > 0) known, count(*) filter (category_str is null or {strip_sql('category_str')} = '') blank,
-  count(*) filter (category_str is not null and {strip_sql('category_str')} <> '' and model_category_id = 0) unseen from vc""",
+  count(*) filter (category_str is not null and {strip_sql('category_str')} <> '' and model_category_id = 0) unseen,
+  (select coalesce(array_to_string(list_sort(list(c))[1:10], '|'), '') from (select distinct {strip_sql('category_str')} c from vc where category_str is not null and {strip_sql('category_str')} <> '' and model_category_id = 0)) examples from vc""",
+    "used_id_exclusions": WITH + " union all ".join(f"""select '{s}' split, count(*) n_excluded, coalesce(array_to_string(list_sort(list(article_id))[1:10], ','), '') examples, case when count(*) > 0 then 'WARNING' else 'PASS' end status
+  from {_used_sql(s, s == 'validation')} where article_id not in (select article_id from va)""" for s in ("train", "validation")),
     "embedding_input": WITH + "select row_number() over (order by article_id) - 1 embedding_row, article_id, model_text from va",
 }

@@ -116,11 +116,14 @@ def entity_group_stats(spark: SparkSession, d: str) -> DataFrame:
 
 
 def top_entities(spark: SparkSession, d: str) -> DataFrame:
-    """The 40 most frequent entities of each group, with their raw forms."""
+    """The 50 most frequent entities of all groups and the 40 of each group, with their raw forms."""
     m = _mentions(spark, d).where("is_train_used")
     t = m.groupBy("entity_group", "normalized_entity").agg(F.count_distinct("article_id").alias("df"), F.array_join(F.sort_array(F.collect_set("raw_entity")), "|").alias("raw_forms"))
+    t = Scratch(spark, "top").keep(t)
     w = Window.partitionBy("entity_group").orderBy(F.desc("df"), "normalized_entity")
-    return t.withColumn("place", F.row_number().over(w).cast("bigint")).where("place <= 40")
+    own = t.withColumn("place", F.row_number().over(w).cast("bigint")).where("place <= 40").select(F.lit("group").alias("list"), "*")
+    every = t.withColumn("all", F.lit(0)).withColumn("place", F.row_number().over(Window.partitionBy("all").orderBy(F.desc("df"), "normalized_entity", "entity_group")).cast("bigint")).where("place <= 50").drop("all")
+    return own.unionByName(every.select(F.lit("all").alias("list"), "*"))
 
 
 def raw_variants(spark: SparkSession, d: str) -> DataFrame:
@@ -166,9 +169,26 @@ def entity_summary(spark: SparkSession, d: str) -> DataFrame:
     other = df.agg(F.count("*").alias("entities_train"), F.count_if(F.col("df") == 1).alias("df1_entities"))
     row = row.withColumn("containment_pairs", E.token_containment(df).agg(F.count("*")).scalar())
     row = row.withColumn("possessive_candidates", E.possessive_candidates(df).agg(F.count("*")).scalar())
+    pairs = E.token_containment(df)
+    sides = pairs.select("entity_group", F.col("short_entity").alias("e")).unionByName(pairs.select("entity_group", F.col("full_entity").alias("e"))).distinct()
+    kinds = df.groupBy("entity").agg(F.count("*").alias("n")).where("n > 1")
+    for name, n in (("containment_participants", sides), ("containment_shorts", pairs.select("entity_group", "short_entity").distinct()), ("cross_type_surfaces", kinds), ("raw_variant_groups", raw_variants(spark, d)), ("articles_with_mentions", m.select("article_id").distinct())):
+        row = row.withColumn(name, n.agg(F.count("*")).scalar())
     return unpivot(row).unionByName(unpivot(other))
 
 
+def containment_share(spark: SparkSession, d: str) -> DataFrame:
+    """Per group, how many surfaces take part in a containment and their share of all surfaces."""
+    df = _df(spark, d)
+    pairs = E.token_containment(df)
+    sides = pairs.select("entity_group", F.col("short_entity").alias("entity")).unionByName(pairs.select("entity_group", F.col("full_entity").alias("entity"))).distinct()
+    n = df.groupBy("entity_group").agg(F.count("*").alias("entities"))
+    part = sides.groupBy("entity_group").agg(F.count("*").alias("participants"))
+    counted = pairs.groupBy("entity_group").agg(F.count("*").alias("pairs"))
+    out = n.join(part, "entity_group", "left").join(counted, "entity_group", "left").fillna(0, ["participants", "pairs"])
+    return out.withColumn("ratio", F.round(F.col("participants") / F.col("entities"), 6))
+
+
 def _rules(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """Buckets of the rules over respelled mentions after the possessive map, and the articles of each surface."""
     e = _respelled(spark, d, "v1")
@@ -194,7 +214,7 @@ def rule_summary(spark: SparkSession, d: str) -> DataFrame:
 
 
 def char_inventory(spark: SparkSession, d: str) -> DataFrame:
-    return E.character_inventory(_mentions(spark, d).where("is_train_used"))
+    return E.character_inventory(_mentions(spark, d).where("is_train_used")).withColumn("code", F.lower(F.hex(F.encode("ch", "UTF-32"))))
 
 
 def _aliases(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -270,7 +290,7 @@ def v3_top_examples(spark: SparkSession, d: str) -> DataFrame:
 
 _names = (
     "mentions possessive_map possessive_candidates hyphen_map article_entities normalization_stats entity_sets list_mismatch entity_group_stats top_entities raw_variants df1_fragmentation "
-    "token_containment containment_cooccurrence cross_type_surfaces type_pair_counts entity_summary surface_statistics rule_collisions rule_mappings rule_summary char_inventory acronym_candidates punctuation_candidates "
+    "token_containment containment_cooccurrence cross_type_surfaces type_pair_counts entity_summary containment_share surface_statistics rule_collisions rule_mappings rule_summary char_inventory acronym_candidates punctuation_candidates "
     "legal_suffix_candidates short_form_candidates v3_candidates v3_top_examples"
 ).split()
 QUERIES = {n: globals()[n] for n in _names}
@@ -386,8 +406,9 @@ SQL = {
     "list_mismatch": "select count(*) filter (ner_clusters is null) null_lists, count(*) filter (len(ner_clusters) = 0) empty_lists, count(*) filter (coalesce(len(ner_clusters), 0) <> coalesce(len(entity_groups), 0)) mismatched from articles",
     "entity_group_stats": WITH + """select 'all' scope, entity_group, count(*) mentions, count(distinct normalized_entity) entities, count(distinct article_id) articles from m group by 2
   union all select 'train', entity_group, count(*), count(distinct normalized_entity), count(distinct article_id) from m where is_train_used group by 2""",
-    "top_entities": WITH + """select * from (select *, row_number() over (partition by entity_group order by df desc, normalized_entity) place from (
-  select entity_group, normalized_entity, count(distinct article_id) df, string_agg(distinct raw_entity, '|' order by raw_entity) raw_forms from m where is_train_used group by 1, 2)) where place <= 40""",
+    "top_entities": WITH + """, tp as materialized (select entity_group, normalized_entity, count(distinct article_id) df, string_agg(distinct raw_entity, '|' order by raw_entity) raw_forms from m where is_train_used group by 1, 2)
+  select * from (select 'group' list, *, row_number() over (partition by entity_group order by df desc, normalized_entity) place from tp) where place <= 40
+  union all select * from (select 'all', *, row_number() over (order by df desc, normalized_entity, entity_group) place from tp) where place <= 50""",
     "raw_variants": WITH + "select entity_group, normalized_entity, count(distinct raw_entity) n_forms, count(distinct article_id) articles from m group by 1, 2 having count(distinct raw_entity) > 1",
     "df1_fragmentation": WITH + f"select 'ALL' entity_group, {_D1} union all select entity_group, {_D1} group by entity_group",
     "token_containment": WITH + "select * from tc",
@@ -396,7 +417,12 @@ SQL = {
     "cross_type_surfaces": WITH + "select entity, count(*) n_groups, string_agg(entity_group, '|' order by entity_group) groups, cast(sum(df) as bigint) total_df from sdf group by 1 having count(*) > 1",
     "type_pair_counts": WITH + "select a.entity_group group_a, b.entity_group group_b, count(*) n_surfaces from sdf a join sdf b on a.entity = b.entity and a.entity_group < b.entity_group group by 1, 2",
     "entity_summary": WITH + """select 'mentions_total' metric, count(*) \"value\" from m union all select 'mentions_train', count(*) from m where is_train_used union all select 'entities_train', count(*) from sdf
-  union all select 'df1_entities', count(*) from sdf where df = 1 union all select 'containment_pairs', count(*) from tc union all select 'possessive_candidates', count(*) from posc""",
+  union all select 'df1_entities', count(*) from sdf where df = 1 union all select 'containment_pairs', count(*) from tc union all select 'possessive_candidates', count(*) from posc
+  union all select 'containment_participants', count(*) from (select entity_group, short_entity from tc union select entity_group, full_entity from tc) union all select 'containment_shorts', count(*) from (select distinct entity_group, short_entity from tc)
+  union all select 'cross_type_surfaces', count(*) from (select entity from sdf group by 1 having count(*) > 1) union all select 'raw_variant_groups', count(*) from (select 1 from m group by entity_group, normalized_entity having count(distinct raw_entity) > 1)
+  union all select 'articles_with_mentions', count(distinct article_id) from m""",
+    "containment_share": WITH + """select entity_group, entities, coalesce(p, 0) participants, coalesce(n, 0) pairs, round(coalesce(p, 0) / entities, 6) ratio from (select entity_group, count(*) entities from sdf group by 1)
+  left join (select entity_group, count(*) p from (select entity_group, short_entity e from tc union select entity_group, full_entity from tc) group by 1) using (entity_group) left join (select entity_group, count(*) n from tc group by 1) using (entity_group)""",
     "surface_statistics": WITH + "select entity_group, canonical_entity entity, count(distinct article_id) df, count(*) mentions from ae where is_train_used group by 1, 2",
     "rule_collisions": RESPELLED + _BUCKETS + """select b.rule, b.entity_group, b.canonical, bool_or(b.entity = b.canonical) observed, count(*) surface_count, string_agg(b.entity, '|' order by df desc, mentions desc, b.entity) surfaces,
   string_agg(cast(df as varchar), '|' order by df desc, mentions desc, b.entity) surface_dfs, string_agg(cast(mentions as varchar), '|' order by df desc, mentions desc, b.entity) surface_mentions,
@@ -406,7 +432,7 @@ SQL = {
   from bk b left join v1 c on c.entity_group = b.entity_group and c.entity = b.canonical where b.entity <> b.canonical""",
     "rule_summary": RESPELLED + _BUCKETS + """select rule, count(distinct (entity_group, canonical)) collision_groups, count(distinct (entity_group, canonical, entity)) filter (entity <> canonical) mapping_candidates, count(distinct article_id) affected_articles
   from bk join v1s using (entity_group, entity) group by 1""",
-    "char_inventory": WITH + r"""select ch, count(*) occurrences, count(distinct article_id) articles, count(distinct normalized_entity) surfaces from (
+    "char_inventory": WITH + r"""select ch, format('{:08x}', unicode(ch)) code, count(*) occurrences, count(distinct article_id) articles, count(distinct normalized_entity) surfaces from (
   select article_id, normalized_entity, unnest(string_split(normalized_entity, '')) ch from m where is_train_used) where regexp_matches(ch, '^[\p{P}\p{Cf}]$') group by 1""",
     "acronym_candidates": RESPELLED + "select *, case when n_longs = 1 and n_articles >= 2 and short_df >= 2 then 'SAFE' when n_longs = 1 and n_articles >= 1 then 'STRONG' when n_longs > 1 then 'AMBIGUOUS' else 'WEAK' end tier from "
     + _evidence_sql(_ACRONYMS, "short_entity", "long_entity", ("short_df", "long_df")),

@@ -150,6 +150,17 @@ def merged_candidates(spark: SparkSession, d: str) -> DataFrame:
     return K.merged(_hits(spark, d, Scratch(spark, "search"))[1]).withColumn("matched_texts", F.array_join("matched_texts", "|"))
 
 
+def type_filter_summary(spark: SparkSession, d: str) -> DataFrame:
+    """Searched entities and candidates by group and what the type filter says."""
+    return type_filter_status(spark, d).groupBy("entity_group", "policy", "filter_status").agg(F.count("*").alias("n_entities"), F.sum("n_candidates").alias("n_candidates"), F.count("one_match_qid").alias("n_one_match"))
+
+
+def probe_entities(spark: SparkSession, d: str) -> DataFrame:
+    """Hits of the twelve most frequent entities; the number is the feature."""
+    u, hits, _, _ = _hits(spark, d, Scratch(spark, "probe"))
+    return K.probed(u.orderBy(F.desc("article_df"), "canonical_entity_key").limit(12), hits)
+
+
 def link_payloads(spark: SparkSession, d: str) -> DataFrame:
     """What is asked of a decision at once: eight entities of an article, what else it names, its texts whole."""
     t = _train(spark, d, Scratch(spark, "payload"))
@@ -244,8 +255,8 @@ def link_rows(spark: SparkSession, d: str) -> DataFrame:
 def linked_entities(spark: SparkSession, d: str) -> DataFrame:
     """Final entities of each valid article; articles without any stay, with none."""
     links, _ = _links(spark, d)
-    n = links.groupBy("article_id").agg(F.count_distinct("linked_entity_key").alias("n_entities"), F.count_if(F.col("decision") == "LINKED").alias("n_linked"))
-    return valid(spark, d).select("article_id").join(n, "article_id", "left").fillna(0, ["n_entities", "n_linked"])
+    n = links.groupBy("article_id").agg(F.count_distinct("linked_entity_key").alias("n_entities"), F.count_if(F.col("decision") == "LINKED").alias("n_linked"), F.array_join(F.sort_array(F.collect_set("linked_entity_key")), "|").alias("entities"))
+    return valid(spark, d).select("article_id").join(n, "article_id", "left").fillna(0, ["n_entities", "n_linked"]).fillna("", ["entities"])
 
 
 def link_backjoin(spark: SparkSession, d: str) -> DataFrame:
@@ -285,7 +296,7 @@ def review_sheet(spark: SparkSession, d: str) -> DataFrame:
 
 _names = (
     "entity_universe pending_entities short_long_candidates ambiguous_short_forms link_evidence evidence_tiers tiered_candidates tier_statistics context_profile metric_quantiles search_candidates search_status search_summary "
-    "merged_candidates link_payloads link_cost knowledge_candidates ancestor_closure type_filter_status context_scores context_status entity_consistency link_rows decision_report linked_entities link_backjoin scope_articles "
+    "merged_candidates type_filter_summary probe_entities link_payloads link_cost knowledge_candidates ancestor_closure type_filter_status context_scores context_status entity_consistency link_rows decision_report linked_entities link_backjoin scope_articles "
     "review_sample review_examples review_sheet"
 ).split()
 QUERIES = {n: globals()[n] for n in _names}
@@ -388,6 +399,7 @@ SQL = {
     "merged_candidates": WITH + """select entity_group, canonical_entity, canonical_entity_key, qid, best_rank, best_language, languages, \"label\", description, \"label\" matched_texts, candidate_index from (
   select *, row_number() over (partition by canonical_entity_key order by best_rank, best_language, qid) candidate_index from (select entity_group, canonical_entity, canonical_entity_key, qid, min(rank) best_rank, min(case language when 'da' then 0 else 1 end) best_language,
     string_agg(language, ',' order by language) languages, any_value(\"label\") \"label\", any_value(description) description from hi group by 1, 2, 3, 4)) where candidate_index <= 10""",
+    "probe_entities": WITH + "select canonical_entity_key, rank, language, qid, \"label\" from (select canonical_entity_key from uni order by article_df desc, canonical_entity_key limit 12) left join hi using (canonical_entity_key)",
     "link_payloads": WITH + "select * from pl",
     "link_cost": WITH + """select n_requests, \"read\", cached, written, round(greatest(\"read\" - cached, 0) / 1e6 * 0.25 + cached / 1e6 * 0.025 + written / 1e6 * 2.0, 6) \"cost\" from (
   select count(*) n_requests, cast(sum((length(title) + length(context) + length(entity_keys) + length(coentities)) // 4) as bigint) \"read\", cast(sum(length(title) // 4) as bigint) cached, cast(sum(n_targets * 20) as bigint) written from pl)""",
@@ -409,13 +421,15 @@ SQL = {
     min(tf.qid) filter (type_status = 'MATCH') mq, min(tf.\"label\") filter (type_status = 'MATCH') ml from ss left join tf using (canonical_entity_key) group by 1, 2, 3)""",
     "context_scores": WITH + "select article_id, canonical_entity_key, entity_group, qid, candidate_rank, round(context_score, 6) context_score from sc",
     "context_status": WITH + "select * from st",
-    "entity_consistency": WITH + """select canonical_entity_key, top_qid dominant_qid, cases n_cases, round(n / cases, 6) dominant_ratio from (select *, cast(sum(n) over (partition by canonical_entity_key) as bigint) cases, row_number() over (partition by canonical_entity_key order by n desc, f, top_qid) p
-  from (select canonical_entity_key, top_qid, count(*) n, min(article_id) f from st group by 1, 2)) where p = 1""",
+    "entity_consistency": WITH + """select canonical_entity_key, top_qid dominant_qid, cases n_cases, round(n / cases, 6) dominant_ratio, w n_winners, n_single, n_unique_top, n_weak_top, n_tie, n_zero from (select *, cast(sum(n) over (partition by canonical_entity_key) as bigint) cases, count(*) over (partition by canonical_entity_key) w, row_number() over (partition by canonical_entity_key order by n desc, f, top_qid) p
+  from (select canonical_entity_key, top_qid, count(*) n, min(article_id) f from st group by 1, 2)) join (select canonical_entity_key, count(*) filter (status = 'SINGLE') n_single, count(*) filter (status = 'UNIQUE_TOP') n_unique_top, count(*) filter (status = 'WEAK_TOP') n_weak_top,
+  count(*) filter (status = 'TIE') n_tie, count(*) filter (status = 'ZERO') n_zero from st group by 1) using (canonical_entity_key) where p = 1""",
     "link_rows": WITH + "select * from lk",
-    "linked_entities": WITH + "select article_id, coalesce(n, 0) n_entities, coalesce(l, 0) n_linked from va left join (select article_id, count(distinct linked_entity_key) n, count(*) filter (decision = 'LINKED') l from lk group by 1) using (article_id)",
+    "linked_entities": WITH + "select article_id, coalesce(n, 0) n_entities, coalesce(l, 0) n_linked, coalesce(es_, '') entities from va left join (select article_id, count(distinct linked_entity_key) n, count(*) filter (decision = 'LINKED') l, string_agg(distinct linked_entity_key, '|' order by linked_entity_key) es_ from lk group by 1) using (article_id)",
     "link_backjoin": WITH + "select te.article_id, entity_position, te.canonical_entity_key, decision, linked_entity_key from te left join lk using (article_id, canonical_entity_key)",
     "scope_articles": WITH + """, sa as (select article_id, bool_or(is_train_used) is_train_used from ae group by 1), sn as (select *, row_number() over (partition by is_train_used order by cast(article_id as varchar)) nth from sa),
   sk as (select least((select count(*) from sa where is_train_used), greatest(100, 200 - (select count(*) from sa where not is_train_used))) t)
   select article_id, is_train_used from sn, sk where case when is_train_used then nth <= t else nth <= 200 - t end""",
     "review_sample": WITH + _SAMPLE,
 }
+SQL["type_filter_summary"] = f"select entity_group, policy, filter_status, count(*) n_entities, cast(sum(n_candidates) as bigint) n_candidates, count(one_match_qid) n_one_match from ({SQL['type_filter_status']}) group by 1, 2, 3"

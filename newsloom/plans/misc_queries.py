@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from newsloom.functions.text import loose_cast
 from newsloom.operators import export as X
 from newsloom.operators import vectors as V
 from newsloom.operators.ranking import Ordered
@@ -82,10 +83,24 @@ def user_sessions(spark: SparkSession, d: str) -> DataFrame:
     return o.running("head", "session").rows.groupBy("user_id", "session").agg(F.count("*").alias("n_events"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
 
 
-_names = "embedding_norm_check embedding_centroids embedding_nearest_label export_fk_check unique_key_check json_props schema_merge_union user_sessions".split()
+def loose_casts(spark: SparkSession, d: str) -> DataFrame:
+    """Texts of the tables read as numbers and times where they can be: values, those that can be read, and their range."""
+    e, a = load(spark, d, "events"), articles(spark, d)
+    parts = [
+        e.select(F.lit("events.event_type").alias("field"), loose_cast(F.col("event_type"), "bigint").alias("n"), F.col("event_type").alias("was")),
+        e.select(F.lit("events.props").alias("field"), loose_cast(F.regexp_extract("props", r"(\d+)", 1), "bigint").alias("n"), F.col("props").alias("was")),
+        a.select(F.lit("articles.url").alias("field"), loose_cast(F.regexp_extract("url", r"([^/]*)/?$", 1), "bigint").alias("n"), F.col("url").alias("was")),
+    ]
+    u = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return u.groupBy("field").agg(F.count("was").alias("n_values"), F.count("n").alias("n_read"), F.min("n").alias("least"), F.max("n").alias("most"))
+
+
+_names = "loose_casts embedding_norm_check embedding_centroids embedding_nearest_label export_fk_check unique_key_check json_props schema_merge_union user_sessions".split()
 QUERIES = {n: globals()[n] for n in _names}
 _FK = lambda name, child, key, parent, pk: f"select '{name}' reference, count(*) n_rows, count(distinct {key}) n_keys from {child} where {key} is not null and {key} not in (select {pk} from {parent} where {pk} is not null)"
 SQL = {
+    "loose_casts": """select field, count(was) n_values, count(n) n_read, min(n) least, max(n) most from (select 'events.event_type' field, try_cast(event_type as bigint) n, event_type was from events
+  union all select 'events.props', try_cast(regexp_extract(props, '(\\d+)', 1) as bigint), props from events union all select 'articles.url', try_cast(regexp_extract(url, '([^/]*)/?$', 1) as bigint), url from articles) group by 1""",
     "embedding_norm_check": """with e as (select vec_id, list_transform(embedding, lambda x: cast(x as double)) v from embeddings),
 n as (select 'stored' vectors, vec_id, v from e union all select 'unit', vec_id, list_transform(v, lambda x: x / greatest(sqrt(list_sum(list_transform(v, lambda y: y * y))), 1e-12)) from e)
 select vectors, count(*) n_rows, count(*) filter (v is null) null_vectors, count(*) filter (len(v) <> 64) wrong_width, count(*) filter (len(list_filter(v, lambda x: x is null or not isfinite(x))) > 0) not_finite,

@@ -3,11 +3,13 @@
 ``session_counts`` groups a stream into sessions by event time and drops what
 arrives after the watermark.  ``running_history`` keeps each user's history as
 state: events wait until the watermark has passed them, are applied in the order
-of (time, impression), and every applied event gives the history before it.
+of (time, impression), and every applied event gives the history before it.  The
+state of a user is their history, as long as it is, and what waits.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
@@ -47,11 +49,12 @@ def _advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) ->
             waiting.append((int(pd.Timestamp(r.event_time).value // 1_000_000), int(r.impression_id), current, [int(x) for x in (r.clicks if r.clicks is not None else [])]))
     mark = state.getCurrentWatermarkMs()
     waiting.sort(key=lambda w: (w[0], w[1]))
+    due = bisect_right(waiting, mark, key=lambda w: w[0])
     out = []
-    while waiting and waiting[0][0] <= mark:
-        t, impression, current, clicks = waiting.pop(0)
+    for t, impression, current, clicks in waiting[:due]:
         before = apply_event(history, current, list(clicks))
         out.append((int(key[0]), impression, pd.Timestamp(t, unit="ms"), before, list(clicks)))
+    waiting = waiting[due:]
     state.update((history, waiting))
     if waiting:
         state.setTimeoutTimestamp(max(waiting[0][0] + 1, mark + 1))
