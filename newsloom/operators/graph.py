@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from newsloom.runtime import Scratch
@@ -17,6 +17,7 @@ def connected_components(edges: DataFrame, scratch: Scratch, max_rounds: int = 6
     """
     both = scratch.keep(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct())
     labels = scratch.keep(both.select(F.col("a").alias("v")).distinct().withColumn("label", F.col("v")))
+    total = labels.agg(_sum()).first()[0]
     for _ in range(max_rounds):
         near = both.join(labels, both["b"] == labels["v"]).groupBy("a").agg(F.min("label").alias("low"))
         step = labels.join(near, labels["v"] == near["a"]).select("v", "label", F.least("label", "low").alias("low"))
@@ -28,14 +29,18 @@ def connected_components(edges: DataFrame, scratch: Scratch, max_rounds: int = 6
         )
         up = hooked.select(F.col("v").alias("label"), F.col("label").alias("upper"))
         new = scratch.keep(hooked.join(up, "label", "left").select("v", F.coalesce("upper", "label").alias("label")))
-        done = new.join(labels.withColumnRenamed("label", "old"), "v").where("label <> old").isEmpty()
         scratch.drop(labels, hooked)
-        labels = new
-        if done:
+        labels, before, total = new, total, new.agg(_sum()).first()[0]
+        if total == before:  # labels only fall: an equal sum means that none has moved
             return labels.withColumnRenamed("label", "component")
     raise RuntimeError(f"labels still move after {max_rounds} rounds")
 
 
+def _sum() -> Column:
+    """Sum of all labels, exact at any number of rows."""
+    return F.sum(F.col("label").cast("decimal(38,0)"))
+
+
 def ancestors(edges: DataFrame, roots: DataFrame, scratch: Scratch, depth: int = 8) -> DataFrame:
     """``node, ancestor, depth``: everything above each root within ``depth`` steps, itself included.
 

@@ -20,6 +20,9 @@ from newsloom.functions.text import truncated
 LANGUAGES = ("da", "en")
 #: Prices of a million tokens: read, read from a cache, written.
 TOKEN_PRICES = {"input": 0.25, "cached": 0.025, "output": 2.0}
+#: Words in the names of a candidate's classes that speak for an organisation, and for a place.
+ORGANISATION_WORDS = ("organization", "organisation", "company", "business", "club", "team", "association", "agency", "institution", "government", "corporation", "enterprise", "political party")
+PLACE_WORDS = ("geographic", "geographical", "city", "country", "municipality", "village", "town", "district", "region", "island", "river", "lake", "sea", "territorial", "location", "place")
 KEY = ("entity_group", "canonical_entity", "canonical_entity_key")
 
 
@@ -29,6 +32,45 @@ def language_index(c: Column, languages: tuple[str, ...] = LANGUAGES) -> Column:
     return F.when(at > 0, at - 1).otherwise(F.lit(999))
 
 
+def resolve_columns(columns: list[str], wanted: dict[str, tuple[str, ...]], given: dict[str, str] | None = None, optional: tuple[str, ...] = ()) -> dict[str, str | None]:
+    """The column that stands for each wanted one: the given one, else the first of its names that is there, whatever its letter case.
+
+    A given column that isn't there, or a wanted one without any, is an error; an optional one is None then.
+    """
+    there, out = {c.casefold(): c for c in columns}, {}
+    for name, names in wanted.items():
+        own = (given or {}).get(name)
+        if own is not None and own not in columns:
+            raise ValueError(f"{own}, given for {name}, isn't among {', '.join(columns)}")
+        out[name] = own or next((there[x.casefold()] for x in names if x.casefold() in there), None)
+        if out[name] is None and name not in optional:
+            raise ValueError(f"none of {', '.join(names)}, looked for as {name}, is among {', '.join(columns)}")
+    return out
+
+
+def soft_type(group: Column, instance_of: Column, class_labels: Column) -> Column:
+    """What the names of a candidate's classes and their parents say about its type; a hint that drops nothing.
+
+    ``instance_of``: ids of its classes; ``class_labels``: names of these, their parents and its own parents.
+    """
+    text = F.lower(F.array_join(class_labels, " | "))
+    says = lambda words: F.when(text.rlike("|".join(words)), "TYPE_MATCH").otherwise("TYPE_UNKNOWN")
+    nothing = (F.coalesce(F.size(instance_of), F.lit(0)) == 0) & (F.coalesce(F.size(class_labels), F.lit(0)) == 0)
+    person = F.when(F.array_contains(instance_of, "Q5"), "TYPE_MATCH").otherwise("TYPE_MISMATCH")
+    g = F.upper(group)
+    return F.when(nothing, "TYPE_UNKNOWN").when(g == "PER", person).when(g == "ORG", says(ORGANISATION_WORDS)).when(g == "LOC", says(PLACE_WORDS)).otherwise("TYPE_UNCHECKED")
+
+
+def hits_of(cache: DataFrame) -> DataFrame:
+    """Hits from cached searches (``entity_group, canonical_entity, canonical_entity_key, searches``): one row a result of each language, in the order it was given.
+
+    ``searches``: array of (language, results), ``results``: array of (id, label, description, match text).
+    """
+    each = cache.select(*KEY, F.explode("searches").alias("s")).select(*KEY, F.col("s.language").alias("language"), F.posexplode("s.results").alias("i", "r"))
+    rows = each.select(*KEY, "language", (F.col("i") + 1).cast("bigint").alias("rank"), F.col("r.id").alias("qid"), F.col("r.label").alias("label"), F.col("r.description").alias("description"), F.col("r.match.text").alias("match_text"))
+    return rows.where(F.col("qid").startswith("Q"))
+
+
 def first_seen(hits: DataFrame, languages: tuple[str, ...] = LANGUAGES) -> DataFrame:
     """Candidates in the order in which languages, then ranks, bring them; an id seen before is dropped."""
     seen = F.struct(language_index(F.col("language"), languages).alias("l"), F.col("rank").alias("r"))

@@ -24,6 +24,7 @@ from newsloom.operators import events as V
 from newsloom.operators import export
 from newsloom.operators import quality as Q
 from newsloom.operators import sequences as S
+from newsloom.operators.vectors import require_vectors
 from newsloom.runtime import Scratch
 from newsloom.sources import load
 from newsloom.sources.records import PipelineConfig, write_report, write_text
@@ -172,8 +173,11 @@ def check_package(name: str, t: dict[str, DataFrame]) -> None:
 def export_one(run: Run, name: str) -> list[dict]:
     """Checks a package and writes it to ``<output>/packages/<name>`` with its manifest."""
     tables = {t: run.read(t) for t in PACKAGES[name]}
+    if name == "train" and run.config.embeddings:  # one vector for each row of the embedding input, made elsewhere
+        vectors = run.spark.read.parquet(run.config.embeddings)
+        tables["embeddings"] = require_vectors(vectors, "embedding_row", "embedding", run.config.embedding_width, tables["embedding_input"].count())
     check_package(name, tables)
-    manifest = export.export_package(tables, f"{run.config.output}/packages/{name}", {t: KEYS[t] for t in tables})
+    manifest = export.export_package(tables, f"{run.config.output}/packages/{name}", {t: KEYS[t] for t in tables if t in KEYS})
     return [r.asDict() for r in manifest.orderBy("table_name").collect()]  # one row a table
 
 

@@ -212,7 +212,9 @@ def clustering_metrics(spark: SparkSession, d: str) -> DataFrame:
     s = l["scratch"]
     changed = X.pair_counts(l["article_events"], r["article_events"]).select(F.col("added_pairs").cast("double"), F.col("removed_pairs").cast("double"))
     kinds = X.merges_and_splits(l["article_events"], r["article_events"]).agg(F.count_if(F.col("kind") == "MERGE").cast("double").alias("merged"), F.count_if(F.col("kind") == "SPLIT").cast("double").alias("split"))
-    right = s.keep(side(r)).crossJoin(changed).crossJoin(kinds)  # one row each
+    right = s.keep(side(r))
+    for one in (changed, kinds):
+        right = right.withColumns({c: one.select(c).scalar() for c in one.columns})
     left = s.keep(side(l)).withColumns({x: F.lit(0.0) for x in ("added_pairs", "removed_pairs", "merged", "split")})
     return X.metric_table(left, right)
 

@@ -13,6 +13,7 @@ import shutil
 import tempfile
 import uuid
 from pathlib import Path
+from typing import ClassVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -93,14 +94,17 @@ class Scratch:
     ``keep`` writes a DataFrame and reads it back, so that lineage ends at files
     on shared storage.  ``drop`` removes a table that no later step reads.
     What remains is removed by ``close`` - at the end of a ``with`` block, once
-    results are written - and at the latest when the process ends.
+    results are written -, by ``release`` for all that is open, and at the latest
+    when the process ends.
     """
 
+    open: ClassVar[set[Scratch]] = set()
+
     def __init__(self, spark: SparkSession, label: str):
         self.spark = sound(spark)
         self.root = f"{shared_folder(spark)}/newsloom-{label}-{uuid.uuid4().hex[:12]}"
         self.n = 0
-        atexit.register(self.close)
+        Scratch.open.add(self)
 
     def __enter__(self) -> Scratch:
         return self
@@ -135,7 +139,7 @@ class Scratch:
         p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)  # noqa: SLF001
 
     def close(self) -> None:
-        atexit.unregister(self.close)
+        Scratch.open.discard(self)
         try:
             self._delete(self.root)
         except Exception:  # noqa: BLE001 - the session may already be gone
@@ -144,6 +148,13 @@ class Scratch:
                 shutil.rmtree(path, ignore_errors=True)
 
 
+@atexit.register
+def release() -> None:
+    """Removes the tables of all operators that have run; for long sessions, once their results are written."""
+    for s in list(Scratch.open):
+        s.close()
+
+
 def row_bytes(df: DataFrame) -> int:
     """Bytes a row of ``df`` is taken to need in a broadcast."""
     loose = (T.StringType, T.BinaryType, T.ArrayType, T.MapType, T.StructType)

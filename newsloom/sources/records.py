@@ -23,6 +23,8 @@ class PipelineConfig:
     entity_mode: str = "normalize_only"
     entity_version: str = "v2"
     semantic_ids: str | None = None
+    embeddings: str | None = None
+    embedding_width: int = 768
     stop_on_fail: bool = True
     required: dict[str, list[str]] = field(default_factory=dict)
 
@@ -85,3 +87,18 @@ def claim_ids(payload, prop: str):
     schema = f"struct<claims: struct<{prop}: array<struct<mainsnak: struct<datavalue: struct<value: struct<id: string>>>>>>>"
     ids = F.transform(F.from_json(payload, schema)["claims"][prop], lambda c: c["mainsnak"]["datavalue"]["value"]["id"])
     return F.array_compact(F.coalesce(ids, F.array().cast("array<string>")))
+
+
+#: Cached searches, one JSON line an entity; what ``search.hits_of`` reads.
+SEARCH_CACHE = "entity_group string, canonical_entity string, canonical_entity_key string, searches array<struct<language: string, results: array<struct<id: string, label: string, description: string, match: struct<text: string>>>>>"
+
+
+def entity_record(payload, languages: tuple[str, ...] = ("da", "en")):
+    """An entity record from its JSON: struct(missing, label and description by language, label in the first language that has one or else the id, P31 and P279 ids)."""
+    texts = ", ".join(f"{x}: struct<value: string>" for x in languages)
+    r = F.from_json(payload, f"struct<id: string, missing: string, labels: struct<{texts}>, descriptions: struct<{texts}>>")
+    named = [F.nullif(r["labels"][x]["value"], F.lit("")) for x in languages]
+    return F.struct(
+        r["id"].alias("qid"), r["missing"].isNotNull().alias("missing"), *[n.alias(f"label_{x}") for n, x in zip(named, languages, strict=True)],
+        *[r["descriptions"][x]["value"].alias(f"description_{x}") for x in languages], F.coalesce(*named, r["id"]).alias("label"), claim_ids(payload, "P31").alias("p31"), claim_ids(payload, "P279").alias("p279"),
+    )

@@ -139,6 +139,34 @@ def test_hits_of_two_languages(spark):
     assert {(r["canonical_entity"], r["status"], r["candidate_count"]) for r in st.collect()} == {("a", "FOUND", 4), ("b", "NO_CANDIDATE", 0), ("c", "ERROR", 0)}
 
 
+def test_cached_searches_and_records(spark, tmp_path):
+    result = lambda q, t: {"id": q, "label": f"l{q}", "description": "", "match": {"text": t}}
+    line = {"entity_group": "PER", "canonical_entity": "a", "canonical_entity_key": "PER::a", "searches": [{"language": "da", "results": [result("Q2", "a"), result("P9", "x")]}, {"language": "en", "results": [result("Q2", "b"), result("Q3", "a")]}, {"language": "sv", "results": []}]}
+    (tmp_path / "c.jsonl").write_text(json.dumps(line) + "\nbroken\n")
+    cache = records.read_cache(spark, str(tmp_path), records.SEARCH_CACHE, "canonical_entity_key")
+    hits = search.hits_of(cache)
+    assert sorted((r["language"], r["rank"], r["qid"], r["match_text"]) for r in hits.collect()) == [("da", 1, "Q2", "a"), ("en", 1, "Q2", "b"), ("en", 2, "Q3", "a")]
+    assert [r["qid"] for r in search.first_seen(hits).orderBy("candidate_rank").collect()] == ["Q2", "Q3"]
+    claim = lambda q: {"mainsnak": {"datavalue": {"value": {"id": q}}}}
+    payload = json.dumps({"id": "Q2", "labels": {"en": {"value": "N"}}, "descriptions": {"da": {"value": "d"}}, "claims": {"P31": [claim("Q5")], "P279": [claim("Q7"), {}]}})
+    df = spark.createDataFrame([(payload,), (json.dumps({"id": "Q8", "missing": ""}),), (None,)], "p string")
+    got = [r[0].asDict() for r in df.select(records.entity_record(F.col("p"))).collect()]
+    assert got[0] == {"qid": "Q2", "missing": False, "label_da": None, "label_en": "N", "description_da": "d", "description_en": None, "label": "N", "p31": ["Q5"], "p279": ["Q7"]}
+    assert (got[1]["missing"], got[1]["label"], got[2]["qid"]) == (True, "Q8", None)
+
+
+def test_soft_types_and_columns(spark):
+    rows = [("PER", ["Q5"], ["human"]), ("PER", ["Q1"], ["x"]), ("ORG", ["Q1"], ["Football Club"]), ("ORG", ["Q1"], ["thing"]), ("LOC", [], ["island"]), ("MISC", ["Q1"], ["x"]), ("ORG", [], []), ("LOC", None, None)]
+    df = spark.createDataFrame(rows, "g string, i array<string>, c array<string>")
+    assert [r[0] for r in df.select(search.soft_type(F.col("g"), F.col("i"), F.col("c"))).collect()] == ["TYPE_MATCH", "TYPE_MISMATCH", "TYPE_MATCH", "TYPE_UNKNOWN", "TYPE_MATCH", "TYPE_UNCHECKED", "TYPE_UNKNOWN", "TYPE_UNKNOWN"]
+    wanted = {"id": ("article_id", "id"), "title": ("title",), "body": ("body", "text")}
+    assert search.resolve_columns(["ID", "Title", "t"], wanted, {"body": "t"}) == {"id": "ID", "title": "Title", "body": "t"}
+    assert search.resolve_columns(["id", "title"], wanted, optional=("body",))["body"] is None
+    for columns, given in ((["id", "title"], None), (["id", "title"], {"body": "nope"})):
+        with pytest.raises(ValueError):
+            search.resolve_columns(columns, wanted, given)
+
+
 def test_payloads_and_contexts(spark):
     pairs = spark.createDataFrame([(1, "PER", f"e{i:02}", f"PER::e{i:02}") for i in range(19)] + [(2, "ORG", "x", "ORG::x")], "article_id bigint, entity_group string, canonical_entity string, canonical_entity_key string")
     a = spark.createDataFrame([(1, " T ", "S ", None), (1, "U", "", ""), (2, None, " ", "b" * 50), (None, "x", "", "")], "article_id bigint, title string, subtitle string, body string")

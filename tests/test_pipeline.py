@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from newsloom import pipeline
 from newsloom.__main__ import main
 from newsloom.operators import catalog as C
-from newsloom.runtime import Scratch, maybe_broadcast, shared_folder
+from newsloom.runtime import Scratch, maybe_broadcast, release, shared_folder
 from newsloom.sources.records import PipelineConfig
 
 DATA = "/root/testdata/sf0.001"
@@ -76,6 +76,23 @@ def test_broken_packages_are_refused(spark, done):
     assert C.require_master(t["article_master"], 10**6, "m") is t["article_master"]
 
 
+def test_embeddings_made_elsewhere_are_checked(spark, done, tmp_path):
+    rows = spark.read.parquet(f"{done}/a/tables/embedding_input.parquet").selectExpr("embedding_row", "array(float(0.6), float(0.8)) embedding")
+    rows.write.parquet(f"{tmp_path}/e")
+    run = pipeline.Run(spark, PipelineConfig(DATA, f"{done}/a", embeddings=f"{tmp_path}/e", embedding_width=2))
+    assert "embeddings" in {r["table_name"] for r in pipeline.export_one(run, "train")}
+    rows.where("embedding_row > 0").write.parquet(f"{tmp_path}/f")
+    with pytest.raises(ValueError):
+        pipeline.export_one(pipeline.Run(spark, PipelineConfig(DATA, f"{done}/a", embeddings=f"{tmp_path}/f", embedding_width=2)), "train")
+
+
+def test_all_scratch_tables_can_be_released(spark):
+    s = Scratch(spark, "t")
+    s.keep(spark.range(3))
+    release()
+    assert not Path(s.root.removeprefix("file://")).exists() and not Scratch.open
+
+
 def test_scratch_tables_end_with_their_block(spark):
     with Scratch(spark, "t") as s:
         a, b = s.keep(spark.range(3)), s.keep(spark.range(4))
