@@ -24,6 +24,8 @@ gives no rows.  The group id is the smallest record of the group.
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,14 +42,20 @@ def peel(links: DataFrame, scratch: Scratch, rounds: int) -> DataFrame:
         fresh = scratch.keep(links.join(keys, "k", "left_semi").select("a").distinct().join(seen, "a", "left_anti"))
         if fresh.isEmpty():
             break
-        seen = scratch.keep(seen.unionByName(fresh))
+        seen = seen.unionByName(fresh)  # as many tables as rounds, at most
         frontier = fresh
     return seen
 
 
+def label_sum(labels: DataFrame) -> Decimal | None:
+    """Sum of all labels, exact at any number of rows."""
+    return labels.agg(F.sum(F.col("label").cast("decimal(38,0)"))).first()[0]
+
+
 def propagate(links: DataFrame, scratch: Scratch, max_rounds: int = 60) -> DataFrame:
     """``a, label``: smallest record linked to each record, by minimum propagation with shortcuts."""
     labels = scratch.keep(links.select("a").distinct().withColumn("label", F.col("a")))
+    total = label_sum(labels)
     for _ in range(max_rounds):
         at_key = links.join(labels, "a").groupBy("k").agg(F.min("label").alias("low"))
         near = links.join(at_key, "k").groupBy("a").agg(F.min("low").alias("low"))
@@ -64,10 +72,9 @@ def propagate(links: DataFrame, scratch: Scratch, max_rounds: int = 60) -> DataF
         new = scratch.keep(
             hooked.join(up, "label", "left").select("a", F.coalesce("upper", "label").alias("label"))
         )
-        changed = new.join(labels.withColumnRenamed("label", "old"), "a").where("label <> old").isEmpty()
         scratch.drop(labels, hooked)
-        labels = new
-        if changed:
+        labels, before, total = new, total, label_sum(new)
+        if total == before:  # labels only fall: an equal sum means that none has moved
             break
     else:
         raise RuntimeError(f"labels still move after {max_rounds} rounds")
