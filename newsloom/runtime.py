@@ -8,6 +8,8 @@ threads of this process may go without that setting; it gets a temporary folder.
 from __future__ import annotations
 
 import atexit
+import importlib.util
+import operator
 import re
 import shutil
 import tempfile
@@ -44,11 +46,17 @@ def session(app: str = "newsloom", master: str = "local[8]", **conf: str) -> Spa
         **conf,
     }
     spark = sound(SparkSession.builder.appName(app).master(master).config(map=settings).getOrCreate())
-    if not threads_only(spark):
+    if not known_to_workers(spark):
         ship_package(spark)
     return spark
 
 
+def known_to_workers(spark: SparkSession) -> bool:
+    """Whether the Python workers can import this package; they are processes of their own, also on one machine."""
+    name = __name__.partition(".")[0]
+    return spark.sparkContext.parallelize([name], 1).map(importlib.util.find_spec).map(operator.truth).first()
+
+
 def sound(spark: SparkSession) -> SparkSession:
     """The session with a rewriting of Spark 4.1 turned off that gives wrong results.
 
@@ -69,9 +77,9 @@ def threads_only(spark: SparkSession) -> bool:
 def ship_package(spark: SparkSession) -> None:
     """Sends this package to the executors, whose Python workers import it by name."""
     root = Path(__file__).resolve().parent
-    with tempfile.TemporaryDirectory() as folder:
-        archive = shutil.make_archive(f"{folder}/newsloom", "zip", root.parent, root.name)
-        spark.sparkContext.addPyFile(archive)  # Spark keeps a copy of its own
+    folder = tempfile.mkdtemp(prefix="newsloom-package-")  # of the driver, which serves the archive as long as it runs
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    spark.sparkContext.addPyFile(shutil.make_archive(f"{folder}/newsloom", "zip", root.parent, root.name))
 
 
 def shared_folder(spark: SparkSession) -> str:
