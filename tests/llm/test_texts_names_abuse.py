@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 from newsloom.llm.abuse import Model, clean, sentences
 from newsloom.llm.abuse_queries import fit, scored
-from newsloom.llm.entitynames import Similarity, edits, parse
-from newsloom.llm.linknames import bands_for, candidates, link_names, q_grams, star_clusters
+from newsloom.llm.entitynames import Similarity, edits, parse, role_keys, spelling_keys
+from newsloom.llm.linkname_queries import p2_found
+from newsloom.llm.linknames import bands_for, candidates, keyed, link_names, q_grams, star_clusters
 from newsloom.llm.lookalikes import LOOKS_LIKE, ODD_TEXT, Trie, bare, by_table, is_odd, options, plain_text, skeleton
 from newsloom.llm.plainform import plain_forms
 from newsloom.runtime import Scratch
@@ -210,6 +211,34 @@ def test_links_of_planted_variants(spark, bucket, entities):
     assert recall >= 0.96 and sum(len(x) > 1 for x in owner.values()) <= 0.01 * len(owner)
 
 
+def test_no_table_of_names_is_broadcast(spark):
+    executions = lambda: spark._jsparkSession.sharedState().statusStore().executionsList()
+    before = executions().size()
+    assert p2_found(spark, "/root/testdata/sf0.001").count() > 0
+    after = executions()
+    plans = [after.apply(i).physicalPlanDescription() for i in range(before, after.size())]
+    assert len(plans) > 10
+    assert not [x for x in plans if "Broadcast" in x]
+
+
+@pytest.mark.parametrize("group", ["PER", "ORG"])
+def test_tokens_held_alike_share_a_key(group):
+    common, nicknames = {"magdalene", "forsikring", "anna"}, {"lene": {"magdalene"}}
+    tokens = ["magdalene", "magdalne", "magda", "lene", "m", "m.", "anna", "ana", "fors.", "frs", "forsikring", "forsikrings", "hansen", "hanesn", "hasn"]
+    measure = Similarity(common, nicknames)
+    for a in tokens:
+        for b in tokens:
+            if a < b and measure.token(a, b, group) > 0:
+                (x, y), (p, q) = [spelling_keys(t, group, nicknames) for t in (a, b)], [role_keys(t, group, frozenset(common)) for t in (a, b)]
+                met = {(k, 3 - r) for k, r in p} & q
+                assert x & y or met, (a, b)
+
+
+def test_keys_come_a_few_tokens_at_a_time(spark):
+    tokens = spark.range(3000).selectExpr("'PER' as grp", "concat('navn', id) as token", "id as t").coalesce(1)
+    assert keyed(tokens, lambda x, g: [(x, 0), (g, 1)]).groupBy("role").agg(F.count_distinct("key").alias("n")).orderBy("role").collect() == [(0, 3000), (1, 1)]
+
+
 def test_linking(spark):
     names = {"PER": ["wanda fælerrudø", "fælerrudø, wanda", "w. fælerrudø", "wanda fælerudø", "wanda faelerrudoe", "jens fælerrudø", "tove pemilbøjø", "", None], "ORG": ["gæsybo energi", "energi, gæsybo ab", "gæsybo en.", "gæsybo foods"]}
     df = spark.createDataFrame([(g, n, 0) for g, ns in names.items() for n in ns], "grp string, name string, entity int")
