@@ -221,6 +221,24 @@ def test_no_table_of_names_is_broadcast(spark):
     assert not [x for x in plans if "Broadcast" in x]
 
 
+def test_bands_are_not_kept(spark, monkeypatch):
+    """A name has 69 bands; what is written is in proportion to the names."""
+    names, pairs = names_of_one_surname(3000)
+    counts, keep = [], Scratch.keep
+
+    def counted(self, *a):
+        out = keep(self, *a)
+        counts.append(out.count())
+        return out
+
+    monkeypatch.setattr(Scratch, "keep", counted)
+    scratch = Scratch(spark, "t")
+    df = spark.createDataFrame([("PER", x) for x in names], "grp string, name string")
+    got = {r["name"]: r["entity"] for r in link_names(df, spark.createDataFrame([], "given_name string, nickname string"), scratch).collect()}
+    assert sum(got[a] == got[b] for a, b in pairs) >= len(pairs) - 1
+    assert max(counts) < 20 * len(names)
+
+
 @pytest.mark.parametrize("group", ["PER", "ORG"])
 def test_tokens_held_alike_share_a_key(group):
     common, nicknames = {"magdalene", "forsikring", "anna"}, {"lene": {"magdalene"}}

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from newsloom import pipeline
 from newsloom.__main__ import main
 from newsloom.operators import catalog as C
-from newsloom.runtime import Scratch, maybe_broadcast, release, shared_folder
+from newsloom.runtime import FREED_SHUFFLES, Scratch, maybe_broadcast, release, shared_folder
 from newsloom.sources.records import PipelineConfig
 
 DATA = "/root/testdata/sf0.001"
@@ -93,6 +93,15 @@ def test_all_scratch_tables_can_be_released(spark):
     assert not Path(s.root.removeprefix("file://")).exists() and not Scratch.open
 
 
+def test_shuffle_files_of_kept_tables_go_at_once(spark):
+    shuffles = spark._jvm.org.apache.spark.SparkEnv.get().mapOutputTracker().shuffleStatuses
+    before = shuffles().size()
+    with Scratch(spark, "t") as scratch:
+        kept = scratch.keep(spark.range(100).groupBy((F.col("id") % 7).alias("k")).count().join(spark.range(7).withColumnRenamed("id", "k").hint("merge"), "k"))
+        assert shuffles().size() <= before and kept.count() == 7
+        assert spark.conf.get(FREED_SHUFFLES) == "false"
+
+
 def test_scratch_tables_end_with_their_block(spark):
     with Scratch(spark, "t") as s:
         a, b = s.keep(spark.range(3)), s.keep(spark.range(4))
